@@ -47,6 +47,11 @@ def words_of(text: str | None) -> set[str]:
     return out
 
 
+def _logit(p: np.ndarray) -> np.ndarray:
+    p = np.clip(p, 1e-4, 1 - 1e-4)
+    return np.log(p / (1 - p))
+
+
 class Linear:
     """Logistic regression over present words and given probabilities, by accelerated proximal gradients; an L1 penalty leaves out words of chance."""
 
@@ -64,7 +69,11 @@ class Linear:
         at = np.repeat(np.arange(len(rows)), [len(c) for c in cols])
         col = np.concatenate([*cols, np.empty(0, int)]).astype(int)
         k, m = len(chosen), chained.shape[1]
-        logit = np.log(np.clip(chained, 1e-4, 1 - 1e-4) / (1 - np.clip(chained, 1e-4, 1 - 1e-4)))
+        logit = _logit(chained)
+        self.middle = logit.mean(0) if len(logit) else np.zeros(m)
+        spread = logit.std(0) if len(logit) else np.ones(m)
+        self.spread = np.where(spread > 1e-6, spread, np.inf)  # a category that never varies says nothing
+        logit = (logit - self.middle) / self.spread
         times = lambda w: np.bincount(at, w[col], minlength=len(rows)) + logit @ w[k:-1] + w[-1]
         back = lambda e: np.concatenate([np.bincount(col, e[at], minlength=k), logit.T @ e, [e.sum()]])
         v = np.ones(k + m + 1)
@@ -73,6 +82,7 @@ class Linear:
             v /= largest if (largest := float(np.linalg.norm(v))) else 1.0
         rate = 1 / (0.26 * max(float(np.linalg.norm(back(times(v)) / n)), 1e-9))
         w = np.zeros(k + m + 1)
+        w[-1] = np.log((pos + 0.5) / (n - pos + 0.5))
         ahead, t = w, 1.0
         for _ in range(ROUNDS):
             new = ahead - rate * back((1 / (1 + np.exp(-np.clip(times(ahead), -30, 30))) - y) / n)
@@ -85,7 +95,8 @@ class Linear:
     def __call__(self, words: set[str], before: list[float]) -> float:
         own = self.words
         z = self.bias + sum(own[w] for w in sorted(words & own.keys()))
-        z += sum(c * np.log(min(max(p, 1e-4), 1 - 1e-4) / (1 - min(max(p, 1e-4), 1 - 1e-4))) for c, p in zip(self.chain, before))
+        if before:
+            z += float((_logit(np.array(before)) - self.middle) / self.spread @ np.array(self.chain))
         return float(1 / (1 + np.exp(-min(max(z, -30), 30))))
 
 
