@@ -21,6 +21,8 @@ from ._shared import appended, table
 WINDOW = 8
 #: Share of an item's windows that a document must hold.
 COVERAGE = 0.5
+#: Where slots differ, the passage must hold so many different plain words for each of its tokens; a table of numbers is no template.
+LITERAL = 0.3
 #: An item list up to so many tokens goes to every executor; a longer one is joined in slices of so many.
 BROADCAST_TOKENS = 4_000_000
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg lb lbs oz t ml cl l gal s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years c f k % percent $ eur usd euro euros dollar dollars pound pounds cent cents mph kmh w kw kwh j kj cal kcal v hz khz mhz ghz b kb mb gb tb meter meters metre metres mile miles inch inches foot feet gram grams litre litres liter liters degrees".split())
@@ -128,9 +130,12 @@ class Items:
                 text = {t: words[t + shift] for t in inside}
                 if not consistent(iwords, text, slots):  # type: ignore[arg-type]
                     continue
+                same = all(_surface(iwords[t]).lower() == _surface(text[t]).lower() for t in inside)
+                if not same and len({icodes[t] for t in inside if icodes[t] >= 1024}) < LITERAL * len(inside):
+                    continue
                 covered |= set(at)
                 tokens += len(inside)
-                exact &= all(_surface(iwords[t]).lower() == _surface(text[t]).lower() for t in inside)
+                exact &= same
                 first = min(x for x in (first, shift + inside[0]) if x is not None)
             if covered and len(covered) >= coverage * total:
                 out.append((item_id, first, tokens, len(covered) / total, exact))
