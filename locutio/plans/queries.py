@@ -55,6 +55,12 @@ def sql_hit(column: str) -> str:
     return f"regexp_matches({FOLD.format(column)}, '(^|[^\\p{{L}}])' || patron || '([^\\p{{L}}]|$)')"
 
 
+def sql_any(column: str, entries: list[lexicon.Entry]) -> str:
+    """Whether any pattern is in column; one constant expression, which the SQL engine compiles once."""
+    joined = "|".join(e.pattern.replace(" ", r"\s+") for e in entries)
+    return f"regexp_matches({FOLD.format(column)}, '(^|[^\\p{{L}}])({joined})([^\\p{{L}}]|$)')"
+
+
 # ---------------------------------------------------------------- sources
 
 _EXTENSIONS = ["srt", "VTT", "txt", "md", "mp3", "xyz"]
@@ -377,8 +383,8 @@ def gate_documents(spark, sf):
 
 
 @query(
-    f"""with l as (select doc_id, indice, lang, texto from {LINES}), h as (select distinct doc_id, indice from l, (select * from {sql_gate(causal.ENTRIES)}) where {sql_hit("texto")})
-select lang, count(*)::bigint as total, count(h.doc_id)::bigint as marked, round((count(*) - count(h.doc_id)) / count(*), 9) as savings from l left join h using (doc_id, indice) group by lang"""
+    f"""with l as (select lang, {sql_any("texto", causal.ENTRIES)} as hit from {LINES})
+select lang, count(*)::bigint as total, count(*) filter (where hit)::bigint as marked, round((count(*) filter (where not hit)) / count(*), 9) as savings from l group by lang"""
 )
 def gate_selectivity(spark, sf):
     rows = lines(spark, sf).select("lang", (F.size(criterion().gate.markers(F.col("texto"))) > 0).alias("m"))
@@ -395,8 +401,7 @@ def lexicon_expand(spark, sf):
 
 
 @query(
-    f"""with l as (select doc_id, indice, texto from {LINES}), h as (select distinct doc_id, indice from l, (select * from {sql_gate(TEST_ENTRIES)}) where {sql_hit("texto")}),
-m as (select l.doc_id, l.indice, h.doc_id is not null as hit from l left join h using (doc_id, indice))
+    f"""with m as (select doc_id, indice, {sql_any("texto", TEST_ENTRIES)} as hit from {LINES})
 select doc_id, indice::integer as indice, hit and (count(*) filter (where hit) over (partition by doc_id order by indice)) <= 3 as preseleccionada from m"""
 )
 def limit_preselected(spark, sf):
@@ -546,8 +551,7 @@ def cache_miss(spark, sf):
 
 
 @query(
-    f"""with l as (select doc_id, indice, lang, texto from {LINES}), h as (select distinct doc_id, indice from l, (select * from {sql_gate(TEST_ENTRIES)}) where {sql_hit("texto")}),
-m as (select lang, texto, h.doc_id is not null as pre from l left join h using (doc_id, indice))
+    f"""with m as (select lang, {sql_any("texto", TEST_ENTRIES)} as pre from {LINES})
 select lang, count(*)::bigint as total, count(*) filter (where pre)::bigint as preseleccionados, count(*) filter (where pre)::bigint as evaluados, 0::bigint as fallidos, count(*) filter (where pre)::bigint as sobre_umbral, case when count(*) filter (where pre) > 0 then 0.9 else 0.0 end::double as score_promedio from m group by lang"""
 )
 def scripted_run(spark, sf):
