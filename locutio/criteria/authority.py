@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.repair import as_text, kind, to_boolean, to_enum, to_number, to_reason, to_score
-from ..functions.text import fixed
+from ..functions.text import fixed, let
 from ..operators.lexicon import Gate, listed
 from .base import Criterion, either, marker, prompt_text
 
@@ -66,24 +66,30 @@ class Authority(Criterion):
         values = {k: F.try_variant_get(answer, f"$.{k}", "variant") for k in KEYS}
         present = F.coalesce(F.json_object_keys(F.to_json(answer)), F.array().cast("array<string>"))
         missing = F.array_except(F.array(*map(F.lit, KEYS)), present)
-        invokes, source = to_boolean(values[KEYS[0]]), to_boolean(values[KEYS[1]])
-        extent = extent_of(to_enum(values[KEYS[2]]))
-        number, reason = to_number(values[KEYS[3]]), to_reason(values[KEYS[4]])
-        clipped, score_notes = to_score(number)
-        score, coherence_notes = coherent(clipped, invokes, source, extent)
-        renamed = F.when((kind(values[KEYS[2]]) == "STRING") & (as_text(values[KEYS[2]]) != extent), F.concat(F.lit('alcance normalizado a "'), extent, F.lit('"')))
-        notes = F.concat(F.array_compact(F.array(renamed)), score_notes, coherence_notes)
-        fields = dict(zip(KEYS, (invokes, source, extent, score, reason)))
-        return (
-            F.when(~kind(answer).startswith("OBJECT"), self._bad("la respuesta no es un objeto JSON"))
-            .when(F.size(missing) >= 3, self._bad(F.concat(F.lit("faltan las claves: "), F.array_join(missing, ", "))))
-            .when(invokes.isNull(), self._bad("invoca_autoridad no es booleano"))
-            .when(source.isNull(), self._bad("fuente_identificable no es booleano"))
-            .when(extent.isNull(), self._bad("alcance_de_la_evidencia fuera del enum permitido"))
-            .when(number.isNull() | F.isnan(number), self._bad("score_autoridad_vaga no es numerico"))
-            .when(reason.isNull(), self._bad("justificacion ausente o demasiado corta (es obligatoria)"))
-            .otherwise(self._good(notes, score, reason, self.markers(invokes, source, extent), fields))
-        )
+        read = F.struct(
+            kind(answer).alias("kind"), missing.alias("missing"), let(values[KEYS[0]], to_boolean).alias("invokes"), let(values[KEYS[1]], to_boolean).alias("source"),
+            let(let(values[KEYS[2]], to_enum), extent_of).alias("extent"), let(values[KEYS[2]], lambda v: F.when(kind(v) == "STRING", as_text(v))).alias("said"),
+            let(values[KEYS[3]], to_number).alias("number"), let(values[KEYS[4]], to_reason).alias("reason"),
+        )
+
+        def judged(f: Column) -> Column:
+            clipped, score_notes = to_score(f.number)
+            score, coherence_notes = coherent(clipped, f.invokes, f.source, f.extent)
+            renamed = F.when(f.said != f.extent, F.concat(F.lit('alcance normalizado a "'), f.extent, F.lit('"')))
+            notes = F.concat(F.array_compact(F.array(renamed)), score_notes, coherence_notes)
+            good = lambda v: self._good(notes, v, f.reason, self.markers(f.invokes, f.source, f.extent), dict(zip(KEYS, (f.invokes, f.source, f.extent, v, f.reason))))
+            return (
+                F.when(~f.kind.startswith("OBJECT"), self._bad("la respuesta no es un objeto JSON"))
+                .when(F.size(f.missing) >= 3, self._bad(F.concat(F.lit("faltan las claves: "), F.array_join(f.missing, ", "))))
+                .when(f.invokes.isNull(), self._bad("invoca_autoridad no es booleano"))
+                .when(f.source.isNull(), self._bad("fuente_identificable no es booleano"))
+                .when(f.extent.isNull(), self._bad("alcance_de_la_evidencia fuera del enum permitido"))
+                .when(f.number.isNull() | F.isnan(f.number), self._bad("score_autoridad_vaga no es numerico"))
+                .when(f.reason.isNull(), self._bad("justificacion ausente o demasiado corta (es obligatoria)"))
+                .otherwise(let(score, good))
+            )
+
+        return let(read, judged)
 
     @staticmethod
     def markers(invokes: Column, source: Column, extent: Column) -> Column:

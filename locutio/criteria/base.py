@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.repair import json_object
+from ..functions.text import let
 from ..operators.lexicon import Gate
 
 MARKERS = "array<struct<etiqueta:string,tono:string>>"
@@ -51,13 +52,12 @@ class Criterion(ABC):
 
     def validated(self, raw: Column) -> Column:
         """VERDICT struct of a raw answer."""
-        found = json_object(raw)
-        answer = F.try_parse_json(found)
-        return (
-            F.when(found.isNull(), self._bad("no se encontro ningun objeto JSON en la respuesta"))
-            .when(answer.isNull(), self._bad("JSON malformado"))
-            .otherwise(self.verdict(answer))
-        )
+
+        def parsed(found: Column) -> Column:
+            missing = F.when(found.isNull(), self._bad("no se encontro ningun objeto JSON en la respuesta"))
+            return let(F.try_parse_json(found), lambda answer: missing.when(answer.isNull(), self._bad("JSON malformado")).otherwise(self.verdict(answer)))
+
+        return let(json_object(raw), parsed)
 
     @staticmethod
     def _bad(problem: str | Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.repair import kind, as_text, to_boolean, to_enum
 from ..operators.lexicon import Gate, ar_verb, listed
+from ..functions.text import let
 from .base import Criterion, either, marker, prompt_text
 
 # Causal connectors. ``pattern = label`` where the label isn't the pattern with its accents.
@@ -75,17 +76,25 @@ class Causal(Criterion):
             value, full = (F.try_variant_get(answer, f"$.{k}", "variant") for k in (short, KEYS[short]))
             return F.when(value.isNull() | F.is_variant_null(value), full).otherwise(value)
 
-        causal, contrast, raw = to_boolean(read("causal")), to_boolean(read("contraste")), read("ventana")
-        window = window_of(to_enum(raw))
-        notes = F.array_compact(F.array(F.when((kind(raw) == "STRING") & (as_text(raw) != window), F.concat(F.lit('ventana normalizada a "'), window, F.lit('"')))))
-        fields = {KEYS["causal"]: causal, KEYS["contraste"]: contrast, KEYS["ventana"]: window}
-        return (
-            F.when(~kind(answer).startswith("OBJECT"), self._bad("la respuesta no es un objeto JSON"))
-            .when(causal.isNull(), self._bad("causal no es booleano"))
-            .when(contrast.isNull(), self._bad("contraste no es booleano"))
-            .when(window.isNull(), self._bad("ventana fuera del enum permitido"))
-            .otherwise(self._good(notes, score_of(causal, contrast, window), reason_of(causal, contrast, window), self.markers(causal, contrast, window), fields))
-        )
+        def judged(f: Column) -> Column:
+            causal, contrast, window = f.causal, f.contrast, f.window
+            notes = F.array_compact(F.array(F.when(f.said != window, F.concat(F.lit('ventana normalizada a "'), window, F.lit('"')))))
+            fields = {KEYS["causal"]: causal, KEYS["contraste"]: contrast, KEYS["ventana"]: window}
+            return (
+                F.when(~f.kind.startswith("OBJECT"), self._bad("la respuesta no es un objeto JSON"))
+                .when(causal.isNull(), self._bad("causal no es booleano"))
+                .when(contrast.isNull(), self._bad("contraste no es booleano"))
+                .when(window.isNull(), self._bad("ventana fuera del enum permitido"))
+                .otherwise(self._good(notes, score_of(causal, contrast, window), reason_of(causal, contrast, window), self.markers(causal, contrast, window), fields))
+            )
+
+        def read_window(raw: Column) -> Column:
+            return F.struct(
+                kind(answer).alias("kind"), let(read("causal"), to_boolean).alias("causal"), let(read("contraste"), to_boolean).alias("contrast"),
+                let(to_enum(raw), window_of).alias("window"), F.when(kind(raw) == "STRING", as_text(raw)).alias("said"),
+            )
+
+        return let(let(read("ventana"), read_window), judged)
 
     @staticmethod
     def markers(causal: Column, contrast: Column, window: Column) -> Column:

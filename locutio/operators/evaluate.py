@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..criteria.base import VERDICT, Criterion
 from ..functions.text import evaluation_key, fixed
+from .stored import stored
 
 ANSWER = "clave string, texto string, fallo string, ms double, ms_carga double, ms_generacion double, tokens bigint"
 RETRIES, THRESHOLD, CACHE_VERSION = 2, 0.7, 2
@@ -113,8 +114,9 @@ def evaluated(claims: DataFrame, criterion: Criterion, backend: Backend, model:
             tried = tried.withColumn(f"_{k}", F.col(f"_{k}") + F.coalesce(k, F.lit(0)))
         tried = tried.withColumn("_llamadas", F.col("_llamadas") + F.col("fallo").isNull().cast("bigint"))
         verdict = F.when(F.col("fallo").isNull(), criterion.validated(F.col("_answer")))
-        tried = tried.withColumn("_v", verdict).withColumn("problema", F.coalesce("fallo", "_v.problema"))
-        tried = tried.select("clave", "texto", "idioma_nombre", "problema", *(f"_{k}" for k in zero), "_v", F.lit(attempt).alias("_n"))
+        tried = tried.withColumn("_v", verdict).withColumn("problema", F.coalesce(F.col("fallo"), F.col("_v").problema))
+        # each answer is asked for once, so a round ends in a table
+        tried = stored(tried.select("clave", "texto", "idioma_nombre", "problema", *(f"_{k}" for k in zero), "_v", F.lit(attempt).alias("_n")))
         ok = F.coalesce(F.col("_v.ok"), F.lit(False))
         over = tried if attempt == retries + 1 else tried.where(ok)
         done = over if done is None else done.unionByName(over)
