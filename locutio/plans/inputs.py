@@ -20,15 +20,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Inputs below are dealt over all cores first: a small file is one row group, which one task would read and parse alone.
+SMALL = 128 << 20
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    if int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SMALL:
+        return docs.repartition(spark.sparkContext.defaultParallelism)
+    return docs
+
+
 def speeches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, content): each line of a document a paragraph."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return docs.select("doc_id", "lang", "source", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("content"))
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, indice, texto): lines of 15 characters or more."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("indice", "texto"))
+    docs = documents(spark, sf_dir).select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("indice", "texto"))
     return docs.where(F.length("texto") >= 15)
 
 
@@ -47,7 +58,7 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, segmentos): twelve words a cue, which overlap by four in documents with an even id and not in the others."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.filter(F.split("text", "\\s+"), lambda w: w != "").alias("w"))
+    docs = documents(spark, sf_dir).select("doc_id", F.filter(F.split("text", "\\s+"), lambda w: w != "").alias("w"))
     move = F.when(F.col("doc_id") % 2 == 0, 8).otherwise(12)
     n = F.greatest(F.lit(1), F.ceil(F.size("w") / move)).cast("int")
     cue = lambda k: F.struct(k.cast("double").alias("inicio"), (k + 1.5).cast("double").alias("fin"), F.array_join(F.slice("w", k * move + 1, 12), " ").alias("texto"))

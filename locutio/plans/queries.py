@@ -12,7 +12,7 @@ from ..criteria.registry import all_criteria, catalog, criterion
 from ..functions import languages, repair, text
 from ..operators import evaluate, lexicon, metrics, report, segment
 from ..sources import subtitles
-from .inputs import TEST_ENTRIES, TEST_GATE, lines, sliding, speeches, table, turns, verdicts
+from .inputs import TEST_ENTRIES, TEST_GATE, documents, lines, sliding, speeches, table, turns, verdicts
 
 Q: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -90,7 +90,7 @@ select doc_id, (row_number() over w0 - 1)::integer as seq, n::integer as n_words
 round((sum(d) over w0)::double, 3) as fin from w window w0 as (partition by doc_id order by i)"""
 )
 def plain_segments(spark, sf):
-    docs = speeches(spark, sf).select("doc_id", F.posexplode(subtitles.plain_cues(F.col("content"))).alias("seq", "c"))
+    docs = speeches(spark, sf).select("doc_id", F.posexplode_outer(subtitles.plain_cues(F.col("content"))).alias("seq", "c")).where("seq is not null")
     return docs.select("doc_id", "seq", F.size(F.split("c.texto", " ")).alias("n_words"), F.round("c.inicio", 3).alias("inicio"), F.round("c.fin", 3).alias("fin"))
 
 
@@ -145,7 +145,7 @@ b as (select doc_id, {_SQL_BARE.format("w[1:30]")} as a, {_SQL_BARE.format("w[21
 select doc_id, coalesce(list_max(list_filter(range(2, least(len(a), len(b)) + 1), lambda n: a[len(a) - n + 1:len(a)] = b[1:n])), 0)::integer as n from b"""
 )
 def overlap(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", F.filter(F.split("text", "\\s+"), lambda x: x != "").alias("w"))
+    docs = documents(spark, sf).select("doc_id", F.filter(F.split("text", "\\s+"), lambda x: x != "").alias("w"))
     a, b = F.array_join(F.slice("w", 1, 30), " "), F.array_join(F.slice("w", 21, 30), " ")
     return docs.select("doc_id", subtitles.overlap_length(a, b).alias("n"))
 
@@ -265,7 +265,7 @@ def pause_sessions(spark, sf):
 @query()
 def sentences(spark, sf):
     """Needs look-behind, which the SQL engine lacks; tests hold it against a scan over characters."""
-    docs = table(spark, sf, "documents").select("doc_id", segment.sentences(text.squeeze(F.col("text"))).alias("s"))
+    docs = documents(spark, sf).select("doc_id", segment.sentences(text.squeeze(F.col("text"))).alias("s"))
     return docs.select("doc_id", F.size("s").alias("n"), F.array_max(F.transform("s", F.length)).alias("longest"), F.md5(F.array_join("s", "|").cast("binary")).alias("text_md5"))
 
 
@@ -327,7 +327,7 @@ select d.doc_id, coalesce(max(code) filter (where k = 1), 'und') as detected, co
 )
 def document_language(spark, sf):
     c = languages.candidates(F.col("text"))
-    docs = table(spark, sf, "documents").select("doc_id", c.alias("c"))
+    docs = documents(spark, sf).select("doc_id", c.alias("c"))
     return docs.select("doc_id", F.coalesce(F.try_element_at("c", F.lit(1)), F.lit("und")).alias("detected"), F.size("c").cast("bigint").alias("n_candidates"))
 
 
@@ -378,7 +378,7 @@ def gate_labels(spark, sf):
 select d.doc_id, count(distinct etiqueta)::integer as n_labels, coalesce(string_agg(etiqueta, '|' order by ord), '') as labels from documents d left join h using (doc_id) group by d.doc_id"""
 )
 def gate_documents(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", TEST_GATE.markers(F.col("text")).alias("m"))
+    docs = documents(spark, sf).select("doc_id", TEST_GATE.markers(F.col("text")).alias("m"))
     return docs.select("doc_id", F.size("m").alias("n_labels"), F.array_join("m", "|").alias("labels"))
 
 
