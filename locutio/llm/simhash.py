@@ -128,9 +128,12 @@ def _joined(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return labels
 
 
-def links(classes: DataFrame, bits: int, budget: int, block_bytes: int = 2) -> DataFrame:
-    """(u, v) links between the doc_ids that stand for distinct fingerprints (fp, root), a spanning forest for each block value."""
-    blocks = F.array(*(F.struct(F.lit(k).alias("block"), F.substring("fp", 1 + k * block_bytes, block_bytes).alias("key")) for k in range(bits // 8 // block_bytes)))
+def links(classes: DataFrame, bits: int, budget: int, key_bits: int = 16) -> DataFrame:
+    """(u, v) links between the doc_ids that stand for distinct fingerprints (fp, root), a spanning forest for each block value.
+
+    A block has 16 bits, of which the last key_bits are its value."""
+    value = lambda k: F.conv(F.hex(F.substring("fp", 1 + 2 * k, 2)), 16, 10).cast("int").bitwiseAND((1 << key_bits) - 1)
+    blocks = F.array(*(F.struct(F.lit(k).alias("block"), value(k).alias("key")) for k in range(bits // 16)))
     rows = classes.where("root is not null").select("fp", "root", F.explode(blocks).alias("b")).select("b.block", "b.key", "fp", "root")
     dealt = rows.repartition("block", "key").sortWithinPartitions("block", "key", "fp")
     width = bits // 8
@@ -163,7 +166,7 @@ def links(classes: DataFrame, bits: int, budget: int, block_bytes: int = 2) -> D
     return dealt.mapInArrow(mapped, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 64, budget: int = 3, distinct: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 64, budget: int = 3, distinct: bool = False, key_bits: int = 16) -> DataFrame:
     """(doc_id, fp, component_id) for each row of docs; component_id is the smallest doc_id reachable over links of at most budget differing bits.
 
     With 64 bits and budget 3 the four 16-bit blocks find every link. With more bits and a budget over one error a block the blocks find a link with
@@ -171,13 +174,15 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 64, budget: int
     """
     prints = checkpointed(simhash(docs, words, bits, distinct))
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("root"))
-    components = connected_components(links(classes, bits, budget))
+    components = connected_components(links(classes, bits, budget, key_bits))
     reached = classes.join(components, F.col("root") == F.col("node"), "left").select("fp", F.coalesce("component", "root").alias("component_id"))
     return prints.join(reached, "fp").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-#: For five-word shingles: two sets of Jaccard similarity 0.8 have cosine 0.889, so 15.1 % of the bits differ, 116 of 768, with deviation 10.
-NEAR = {"words": 5, "bits": 768, "budget": 126, "distinct": True}
+#: Up to so many ids of copies (8 bytes each) go to every executor, so that texts aren't shuffled; more are joined by a shuffle.
+BROADCAST_IDS = 8_000_000
+#: For five-word shingles: two sets of Jaccard similarity 0.8 have cosine 0.889, so 15.1 % of the bits differ, 78 of 512, with deviation 8.
+NEAR = {"words": 5, "bits": 512, "budget": 86, "distinct": True, "key_bits": 14}
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -186,8 +191,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     A document without any word is like no other and stays; so does a row without a doc_id. Rows that repeat a doc_id stay or go together.
     """
     some = docs.where("text is not null").where(F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
-    gone = near_duplicates(some, **NEAR).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = checkpointed(near_duplicates(some, **NEAR).where("doc_id <> component_id").select("doc_id").distinct())
+    small = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
