@@ -152,26 +152,47 @@ class SuffixSorter:
         return out
 
 
-def repeated(texts: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, place) of each 50-byte string of texts that also starts in a text with a smaller doc."""
+def _starts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All bytes joined; text, place in it and place in the whole of each 50-byte string."""
     sizes = np.array([len(t) for t in texts], np.int64)
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    begin = np.cumsum(sizes) - sizes
     count = np.maximum(sizes - LENGTH + 1, 0)
     owner = np.repeat(np.arange(len(texts)), count)
     place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-    starts = begin[owner] + place
+    return np.frombuffer(b"".join(texts), np.uint8), owner, place, (np.cumsum(sizes) - sizes)[owner] + place
+
+
+def repeated(texts: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, place) of each 50-byte string of texts that also starts in a text with a smaller doc.
+
+    A string whose hash no other has is alone; only the others, and the texts that hold them, are sorted.
+    """
+    data, owner, place, starts = _starts(texts)
+    if not len(starts):
+        return owner, place
+    value = _rolling(data, LENGTH)[starts]
+    ordered = np.sort(value)
+    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    at = np.searchsorted(twice, value)
+    open_ = twice[np.minimum(at, len(twice) - 1)] == value if len(twice) else np.zeros(len(value), bool)
+    if not open_.any():
+        return owner[:0], place[:0]
+    kept = np.unique(owner[open_])
+    data, own, own_place, own_starts = _starts([texts[i] for i in kept])
+    in_kept = np.zeros(len(texts), bool)
+    in_kept[kept] = True
+    asked = open_[in_kept[owner]]
+    own, own_place, own_starts = kept[own[asked]], own_place[asked], own_starts[asked]
     where = np.full(len(data) + 1, -1, np.int64)
-    where[starts] = np.arange(len(starts))
+    where[own_starts] = np.arange(len(own_starts))
     sorter = SuffixSorter(data)
     hits = []
-    for block in sorter.blocks(starts):
+    for block in sorter.blocks(own_starts):
         first = np.concatenate([[0], np.flatnonzero(~sorter.same(block[1:], block[:-1])) + 1])
-        own = docs[owner[where[block]]]
-        least = np.repeat(np.minimum.reduceat(own, first), np.diff(np.concatenate([first, [len(block)]])))
-        hits.append(where[block[own > least]])
-    hit = np.sort(np.concatenate(hits)) if hits else np.empty(0, np.int64)
-    return owner[hit], place[hit]
+        of = docs[own[where[block]]]
+        least = np.repeat(np.minimum.reduceat(of, first), np.diff(np.concatenate([first, [len(block)]])))
+        hits.append(where[block[of > least]])
+    hit = np.sort(np.concatenate(hits))
+    return own[hit], own_place[hit]
 
 
 def _unit_rows(docs: DataFrame) -> DataFrame:
