@@ -145,9 +145,11 @@ b as (select doc_id, {_SQL_BARE.format("w[1:30]")} as a, {_SQL_BARE.format("w[21
 select doc_id, coalesce(list_max(list_filter(range(2, least(len(a), len(b)) + 1), lambda n: a[len(a) - n + 1:len(a)] = b[1:n])), 0)::integer as n from b"""
 )
 def overlap(spark, sf):
-    docs = documents(spark, sf).select("doc_id", F.filter(F.split("text", "\\s+"), lambda x: x != "").alias("w"))
-    a, b = F.array_join(F.slice("w", 1, 30), " "), F.array_join(F.slice("w", 21, 30), " ")
-    return docs.select("doc_id", subtitles.overlap_length(a, b).alias("n"))
+    """(doc_id, k, n): the overlap of each cue of whole documents, from the second on, with the one before; k counts cues from 0."""
+    said = F.transform("segmentos", lambda c: F.transform(F.split(c.texto, " "), subtitles.bare_word))
+    count = lambda w: F.when(F.size(w) > 1, F.sequence(F.lit(1), F.size(w) - 1)).otherwise(F.array().cast("array<int>"))
+    pairs = text.let(said, lambda w: F.transform(count(w), lambda k: F.struct(k.alias("k"), subtitles.overlap_of(F.get(w, k - 1), F.get(w, k)).alias("n"))))
+    return sliding(spark, sf).select("doc_id", F.inline_outer(pairs)).where("k is not null")
 
 
 @query(
