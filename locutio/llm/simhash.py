@@ -181,8 +181,158 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 64, budget: int
 
 #: Up to so many ids of copies (8 bytes each) go to every executor, so that texts aren't shuffled; more are joined by a shuffle.
 BROADCAST_IDS = 8_000_000
-#: For five-word shingles: two sets of Jaccard similarity 0.8 have cosine 0.889, so 15.1 % of the bits differ, 78 of 512, with deviation 8.
-NEAR = {"words": 5, "bits": 512, "budget": 86, "distinct": True, "key_bits": 14}
+#: Near copies: Jaccard similarity of the sets of five-word shingles at least 4 in 5.
+NEAR_WORDS, NEAR_PART, NEAR_WHOLE = 5, 4, 5
+#: Shingles that so many documents of one batch hold come last in the order of prefixes.
+_COMMON = 8
+
+
+def _common_shingles(docs: DataFrame, most: int = 1_000_000) -> dict[int, int]:
+    """Shingles that many documents hold and roughly how many; it only sets an order, so what it lacks costs time and no pair."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def batch_of() -> pa.RecordBatch:
+            values, counts = np.unique(np.concatenate(held), return_counts=True)
+            often = counts >= _COMMON
+            return pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(counts[often])], names=["shingle", "n"])
+
+        for batch in batches:
+            for text in batch.column(0):
+                held.append(np.unique(shingle_hashes(text.as_py(), NEAR_WORDS)))
+                n += len(held[-1])
+                if n >= 2_000_000:
+                    yield batch_of()
+                    held, n = [], 0
+        if held:
+            yield batch_of()
+
+    found = docs.select("text").mapInArrow(counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(most).toArrow()
+    return dict(zip(found["shingle"].to_pylist(), found["n"].to_pylist()))
+
+
+def _prefixes(docs: DataFrame) -> DataFrame:
+    """(doc_id, sig, n, prefix, counts): the sets' sizes and first shingles, rare ones first, of which similar sets share one; shingles by their last
+    byte, or nothing where one count exceeds a byte."""
+    shared = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs))
+    held: list[tuple] = []
+
+    def kernel(rows: Iterator[tuple]) -> Iterator[tuple]:
+        if not held:
+            keys = np.array(sorted(shared.value), np.int64)
+            held.append((keys, np.array([shared.value[k] for k in keys.tolist()], np.int64)))
+        keys, counts = held[0]
+        for doc_id, text in rows:
+            own = np.unique(shingle_hashes(text, NEAR_WORDS)).view(np.int64)
+            weight = np.zeros(len(own), np.int64)
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                weight = np.where(keys[at] == own, counts[at], 0)
+            first = np.lexsort((own, weight))[: len(own) - -(-NEAR_PART * len(own) // NEAR_WHOLE) + 1]
+            by_byte = np.bincount(own & 255, minlength=256)
+            yield doc_id, xxhash.xxh3_128_digest(own.tobytes()), len(own), own[first].tolist(), by_byte.astype(np.uint8).tobytes() if by_byte.max() < 256 else b""
+
+    schema = pa.schema([("doc_id", pa.int64()), ("sig", pa.binary()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64())), ("counts", pa.binary())])
+    return per_document(docs.select("doc_id", "text"), kernel, schema, "doc_id long, sig binary, n long, prefix array<long>, counts binary")
+
+
+def bucket_pairs(shingle: np.ndarray, n: np.ndarray, pos: np.ndarray, at_most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, lead) row pairs with one shingle (rows sorted by it) whose sizes and places allow the similarity; lead: i is its bucket's first row."""
+    if not len(shingle):
+        return
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(shingle)) + 1, [len(shingle)]])
+    end, first = np.repeat(starts[1:], np.diff(starts)), np.repeat(starts[:-1], np.diff(starts))
+    more = end - np.arange(len(shingle)) - 1
+    rows = np.flatnonzero(more)
+    total = np.cumsum(more[rows])
+    at = 0
+    while at < len(rows):
+        upto = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + at_most, "right")))
+        own = rows[at:upto]
+        i = np.repeat(own, more[own])
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(more[own]) - more[own], more[own])
+        ok = NEAR_WHOLE * np.minimum(n[i], n[j]) >= NEAR_PART * np.maximum(n[i], n[j])
+        ok &= (NEAR_WHOLE + NEAR_PART) * np.minimum(n[i] - pos[i], n[j] - pos[j]) >= NEAR_PART * (n[i] + n[j])
+        yield i[ok], j[ok], i[ok] == first[i[ok]]
+        at = upto
+
+
+def _candidates(classes: DataFrame) -> DataFrame:
+    """(u, v, lead) of distinct sets that can be similar."""
+    rows = classes.select("root", "n", F.posexplode("prefix").alias("pos", "shingle")).select("shingle", "root", "n", "pos")
+    dealt = rows.repartition("shingle").sortWithinPartitions("shingle", "root")
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = np.empty((4, 0), np.int64)
+
+        def found(x: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for i, j, lead in bucket_pairs(x[0], x[2], x[3]):
+                yield pa.RecordBatch.from_arrays([pa.array(x[1][i]), pa.array(x[1][j]), pa.array(lead)], names=["u", "v", "lead"])
+
+        for batch in batches:
+            rest = np.concatenate([rest, np.array([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]).reshape(4, -1)], 1)
+            cut = int(np.searchsorted(rest[0], rest[0][-1])) if rest.shape[1] else 0
+            if cut:
+                yield from found(rest[:, :cut])
+                rest = rest[:, cut:]
+        yield from found(rest)
+
+    pairs = dealt.mapInArrow(mapped, "u long, v long, lead boolean")
+    return pairs.where("u <> v").groupBy("u", "v").agg(F.max("lead").alias("lead"))
+
+
+def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The (u, v, lead) of pairs whose counts allow the similarity: sets have at most the lesser count of each byte in common. No similar pair is lost."""
+    side = lambda k, c: classes.select(F.col("root").alias(k), F.col("n").alias(f"n{k}"), F.col("counts").alias(c))
+    both = pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "lead", "nu", "nv", "a", "b")
+
+    def kernel(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for u, v, lead, n, m, a, b in rows:
+            most = int(np.minimum(np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)).sum()) if a and b else min(n, m)
+            if (NEAR_WHOLE + NEAR_PART) * most >= NEAR_PART * (n + m):
+                yield u, v, lead
+
+    found = per_document(both, kernel, pa.schema([("u", pa.int64()), ("v", pa.int64()), ("lead", pa.bool_())]), "u long, v long, lead boolean")
+    return found.groupBy("u", "v").agg(F.max("lead").alias("lead"))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The (u, v) of pairs whose whole sets of shingles are similar enough."""
+    both = pairs.join(sets.select(F.col("root").alias("u"), F.col("own").alias("a")), "u").join(sets.select(F.col("root").alias("v"), F.col("own").alias("b")), "v").select("u", "v", "a", "b")
+
+    def kernel(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for u, v, a, b in rows:
+            x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            if NEAR_WHOLE * common >= NEAR_PART * (len(x) + len(y) - common):
+                yield u, v
+
+    return per_document(both, kernel, pa.schema([("u", pa.int64()), ("v", pa.int64())]), "u long, v long")
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """(node, component) of the documents that have a near copy: components over every pair with five-word Jaccard similarity of 0.8 or more.
+
+    Prefix filtering finds all such pairs, and each is confirmed on the whole texts. Equal sets count as one. Pairs with the first row of a bucket are
+    confirmed first; of the others only those that these don't connect.
+    """
+    prints = checkpointed(_prefixes(docs.where("doc_id is not null")))
+    classes = checkpointed(prints.groupBy("sig").agg(F.min("doc_id").alias("root"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("counts").alias("counts")))
+    equal = prints.join(classes.select("sig", "root"), "sig").select(F.col("doc_id").alias("u"), F.col("root").alias("v")).where("u <> v")
+    pairs = checkpointed(_possible(_candidates(classes), classes))
+    nodes = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+
+    def whole(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for doc_id, text in rows:
+            yield doc_id, np.unique(shingle_hashes(text, NEAR_WORDS)).tobytes()
+
+    sets = checkpointed(per_document(docs.select("doc_id", "text").join(nodes, "doc_id", "left_semi"), whole, pa.schema([("root", pa.int64()), ("own", pa.binary())]), "root long, own binary"))
+    links = checkpointed(_confirmed(pairs.where("lead"), sets).unionByName(equal))
+    reached = connected_components(links)
+    side = lambda k: reached.select(F.col("node").alias(k), F.col("component").alias(f"c{k}"))
+    left = pairs.where("not lead").join(side("u"), "u", "left").join(side("v"), "v", "left").where("coalesce(cu, u) <> coalesce(cv, v)").select("u", "v")
+    return connected_components(_confirmed(left, sets).unionByName(links))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -191,7 +341,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     A document without any word is like no other and stays; so does a row without a doc_id. Rows that repeat a doc_id stay or go together.
     """
     some = docs.where("text is not null").where(F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
-    gone = checkpointed(near_duplicates(some, **NEAR).where("doc_id <> component_id").select("doc_id").distinct())
+    gone = checkpointed(near_copies(some).where("node <> component").select(F.col("node").alias("doc_id")).distinct())
     small = gone.count() <= BROADCAST_IDS
     return docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(docs.columns)
 
