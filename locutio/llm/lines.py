@@ -1,14 +1,12 @@
 """Line dedup by the spread of a line over distinct sites.
 
 Each line hash gets a HyperLogLog sketch of its sites, kept as rows: (line hash, register, rank) under a maximum, which merges by aggregation and
-combines on the map side, so a line that a third of all rows hold costs each task a few rows. Lines whose estimate is near the threshold get an
-exact distinct count. Lines on enough sites are boilerplate: the document with the smallest doc_id keeps the first of them, every other goes.
+combines on the map side, so a line that a third of all rows hold costs each task a few rows. Its registers bound the sites from below and the
+copies of a line from above; lines that these leave open get an exact distinct count. Lines on enough sites are boilerplate: the document with the smallest doc_id keeps the first of them, every other goes.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -31,25 +29,25 @@ def _line_rows(docs: DataFrame) -> DataFrame:
 
 
 def line_spread(docs: DataFrame, registers: int = REGISTERS) -> DataFrame:
-    """(line, sites double, keeper): estimated number of distinct sites of each line hash and the smallest doc_id that holds it."""
+    """(line, sites double, keeper, used, held): estimated number of distinct sites of each line hash, the smallest doc_id that holds it, and two
+    bounds of that number: the registers used, below, and the times it stands anywhere, above."""
     h = F.xxhash64("site")
     bits = registers.bit_length() - 1
     rank = F.lit(64 - bits + 1) - F.when(F.shiftrightunsigned(h, bits) == 0, 0).otherwise(F.length(F.bin(F.shiftrightunsigned(h, bits))))
     rows = _line_rows(docs).select("line", "doc_id", h.bitwiseAND(registers - 1).cast("int").alias("register"), rank.cast("int").alias("rank"))
-    sketch = rows.groupBy("line", "register").agg(F.max("rank").alias("rank"), F.min("doc_id").alias("keeper"))
-    merged = sketch.groupBy("line").agg(F.sum(F.pow(F.lit(2.0), -F.col("rank"))).alias("s"), F.count("*").alias("used"), F.min("keeper").alias("keeper"))
+    sketch = rows.groupBy("line", "register").agg(F.max("rank").alias("rank"), F.min("doc_id").alias("keeper"), F.count("*").alias("held"))
+    merged = sketch.groupBy("line").agg(F.sum(F.pow(F.lit(2.0), -F.col("rank"))).alias("s"), F.count("*").alias("used"), F.min("keeper").alias("keeper"), F.sum("held").alias("held"))
     m = float(registers)
     raw = F.lit(0.7213 / (1 + 1.079 / m) * m * m) / (F.lit(m) - F.col("used") + F.col("s"))
     small = F.lit(m) * F.log(F.lit(m) / (F.lit(m) - F.col("used")))
-    return merged.select("line", F.when((raw <= 2.5 * m) & (F.col("used") < registers), small).otherwise(raw).alias("sites"), "keeper")
+    return merged.select("line", F.when((raw <= 2.5 * m) & (F.col("used") < registers), small).otherwise(raw).alias("sites"), "keeper", "used", "held")
 
 
 def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, registers: int = REGISTERS) -> DataFrame:
-    """(line, keeper) of the line hashes on min_sites or more distinct sites. Exact within three standard errors of the threshold."""
-    band = 1 + 3 * 1.04 / math.sqrt(registers)
-    spread = checkpointed(line_spread(docs, registers).where(F.col("sites") >= min_sites / band))
-    sure = spread.where(F.col("sites") > min_sites * band).select("line", "keeper")
-    near = spread.where(F.col("sites") <= min_sites * band)
+    """(line, keeper) of the line hashes on min_sites or more distinct sites. Exact: only what both bounds of the sketch leave open is counted."""
+    spread = checkpointed(line_spread(docs, registers).where(F.col("held") >= min_sites))
+    sure = spread.where(F.col("used") >= min_sites).select("line", "keeper")
+    near = spread.where(F.col("used") < min_sites)
     pairs = _line_rows(docs).select("line", "site").distinct().join(near.select("line"), "line", "left_semi")
     exact = pairs.groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites)
     return sure.unionByName(near.join(exact, "line", "left_semi").select("line", "keeper"))
