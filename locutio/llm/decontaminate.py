@@ -1,8 +1,8 @@
 """Benchmark decontamination over canonical templates.
 
 Numbers, units and names of a text become typed placeholders; eight-token windows of these templates are hashed and joined with the windows of the
-benchmark's items. Where enough of an item's windows lie on one alignment, the slots are compared: each value of the item must stand for one value
-of the document and each of the document for one of the item. That also finds questions whose numbers, names or units were replaced.
+benchmark's items. The slots of an alignment are compared: a window counts if its slots are literally equal, or if each changed value of the item
+stands for one value of the document and each of the document for one of the item, within numbers, units and names. That also finds questions whose numbers, names or units were replaced.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from ._shared import appended, table
 WINDOW = 8
 #: Share of an item's windows that a document must hold.
 COVERAGE = 0.5
-#: Where slots differ, the passage must hold so many different plain words for each of its tokens; a table of numbers is no template.
+#: Where slots differ, a window must hold so many different plain words for each of its tokens; a table of numbers is no template.
 LITERAL = 0.3
 #: An item list up to so many tokens goes to every executor; a longer one is joined in slices of so many.
 BROADCAST_TOKENS = 4_000_000
@@ -79,11 +79,14 @@ def windows(codes: np.ndarray, k: int = WINDOW) -> np.ndarray:
     return out
 
 
-def consistent(item: list[str], text: list[str], slots: list[int]) -> bool:
-    """Whether the values in the slots map one to one."""
-    there: dict[str, str] = {}
-    back: dict[str, str] = {}
-    return all(there.setdefault(a, b) == b and back.setdefault(b, a) == a for a, b in ((_surface(item[s]).lower(), _surface(text[s]).lower()) for s in slots))
+def conflicting(pairs: dict[int, tuple[int, str, str]]) -> set[int]:
+    """The slots, of (kind, value of the item, value of the text), whose values differ and don't map one to one within their kind."""
+    there: dict[tuple[int, str], set[str]] = defaultdict(set)
+    back: dict[tuple[int, str], set[str]] = defaultdict(set)
+    for kind, a, b in pairs.values():
+        there[kind, a].add(b)
+        back[kind, b].add(a)
+    return {s for s, (kind, a, b) in pairs.items() if a != b and (len(there[kind, a]) > 1 or len(back[kind, b]) > 1)}
 
 
 class Items:
@@ -125,18 +128,23 @@ class Items:
             covered: set[int] = set()
             first, exact, tokens = None, True, 0
             for shift, at in shifts.items():
-                inside = sorted({t for q in at for t in range(q, q + min(k, len(icodes)))})
-                slots = [t for t in inside if icodes[t] < 1024]
-                text = {t: words[t + shift] for t in inside}
-                if not consistent(iwords, text, slots):  # type: ignore[arg-type]
+                width = min(k, len(icodes))
+                inside = {t for q in at for t in range(q, q + width)}
+                pairs = {t: (int(icodes[t]), _surface(iwords[t]).lower(), _surface(words[t + shift]).lower()) for t in inside if icodes[t] < 1024}
+                wrong, changed = conflicting(pairs), {t for t, (_, a, b) in pairs.items() if a != b}
+                good = []
+                for q in at:
+                    own = range(q, q + width)
+                    if not changed.isdisjoint(own) and (not wrong.isdisjoint(own) or len({icodes[t] for t in own if icodes[t] >= 1024}) < LITERAL * width):
+                        continue
+                    good.append(q)
+                if not good:
                     continue
-                same = all(_surface(iwords[t]).lower() == _surface(text[t]).lower() for t in inside)
-                if not same and len({icodes[t] for t in inside if icodes[t] >= 1024}) < LITERAL * len(inside):
-                    continue
-                covered |= set(at)
+                inside = {t for q in good for t in range(q, q + width)}
+                covered |= set(good)
                 tokens += len(inside)
-                exact &= same
-                first = min(x for x in (first, shift + inside[0]) if x is not None)
+                exact &= changed.isdisjoint(inside)
+                first = min(x for x in (first, shift + min(inside)) if x is not None)
             if covered and len(covered) >= coverage * total:
                 out.append((item_id, first, tokens, len(covered) / total, exact))
         return sorted(out)
