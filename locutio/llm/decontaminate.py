@@ -21,6 +21,8 @@ from ._shared import appended, table
 WINDOW = 8
 #: Share of an item's windows that a document must hold.
 COVERAGE = 0.5
+#: So many literal tokens in one run of matched windows make a leak whatever the item's length.
+RUN = 13
 #: Where slots differ, a window must hold so many different plain words for each of its tokens; a table of numbers is no template.
 LITERAL = 0.3
 #: An item list up to so many tokens goes to every executor; a longer one is joined in slices of so many.
@@ -109,7 +111,7 @@ class Items:
         self.short = sorted({len(c) for _, c, _, _ in self.items.values() if len(c) < k})
 
     def matches(self, codes: np.ndarray, words: list[str], coverage: float = COVERAGE, k: int = WINDOW) -> list[tuple[int, int, int, float, bool]]:
-        """(item_id, first token, tokens, share, exact) of each item that the text holds: one alignment, or several that agree, covers the share."""
+        """(item_id, first token, tokens, share, exact) of each item that the text holds: its alignments cover the share, or a run of RUN literal tokens."""
         if not len(codes) or not len(self.hashes):
             return []
         spots: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
@@ -126,7 +128,7 @@ class Items:
         for item, shifts in spots.items():
             item_id, icodes, iwords, total = self.items[item]
             covered: set[int] = set()
-            first, exact, tokens = None, True, 0
+            first, exact, tokens, longest = None, True, 0, 0
             for shift, at in shifts.items():
                 width = min(k, len(icodes))
                 inside = {t for q in at for t in range(q, q + width)}
@@ -144,8 +146,11 @@ class Items:
                 covered |= set(good)
                 tokens += len(inside)
                 exact &= changed.isdisjoint(inside)
+                good.sort()
+                cuts = [0, *(i for i in range(1, len(good)) if good[i] > good[i - 1] + 1), len(good)]
+                longest = max(longest, *(sum(t not in changed for t in range(good[i], good[j - 1] + width)) for i, j in zip(cuts, cuts[1:])))
                 first = min(x for x in (first, shift + min(inside)) if x is not None)
-            if covered and len(covered) >= coverage * total:
+            if covered and (len(covered) >= coverage * total or longest >= RUN):
                 out.append((item_id, first, tokens, len(covered) / total, exact))
         return sorted(out)
 
@@ -153,8 +158,8 @@ class Items:
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, leaks array<struct<item_id, first, tokens, share, exact>>) of each row of docs.
 
-    Null and empty texts hold nothing, null items are left out. An item below the window's length counts as one window; a share of half the windows
-    makes a leak. The benchmark is read slice by slice, each of a bounded number of tokens, and every slice meets all documents.
+    Null and empty texts hold nothing, null items are left out. An item below the window's length counts as one window; a share of half the windows,
+    or a run of RUN literal tokens, makes a leak. The benchmark is read slice by slice, each of a bounded number of tokens, and every slice meets all documents.
     """
     return _judged(docs.select("doc_id", "text"), benchmark, coverage).select("doc_id", F.col("__leaks").alias("leaks"))
 

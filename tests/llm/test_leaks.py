@@ -19,3 +19,10 @@ def test_a_conflicting_slot_costs_its_windows_only():
     assert matched(two, two.replace("3 apples", "9 apples").replace("5 pears", "9 pears")) == [7]
     table = "one value 1 2 3 4 5 6 7 8 and"
     assert matched(table, "one value 10 20 30 40 50 60 70 80 and") == []
+
+
+def test_a_long_run_is_a_leak_of_any_item():
+    words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)]
+    assert matched(" ".join(words), "before it " + " ".join(words[100:250]) + " and after") == [7]
+    assert matched(" ".join(words), "before it " + " ".join(words[100:112]) + " and after") == []
+    assert matched(" ".join(words), "before it " + " ".join(words[100:113]) + " and after") == [7]
