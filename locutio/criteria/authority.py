@@ -55,9 +55,9 @@ def coherent(score: Column, invokes: Column, source: Column, extent: Column) ->
 
 class Authority(Criterion):
     id = "apelacion-autoridad"
-    name = "Apelacion a autoridad"
-    description = "Afirmaciones apoyadas en expertos, estudios o el saber comun sin fuente identificable ni evidencia concreta."
-    scope = "Evalua si la fuente se puede rastrear, no si la autoridad citada tiene razon."
+    name = "Autoridad sin fuente"
+    description = "Busca frases que se apoyan en expertos, informes o sentido comun que nadie podria localizar."
+    scope = "Mide si la fuente puede localizarse; no dice si acierta."
     system_prompt = prompt_text("authority")
     keys_reminder = "5 claves exactas"
     gate = Gate(ENTRIES)

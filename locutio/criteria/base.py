@@ -21,6 +21,7 @@ VERDICT = f"struct<ok:boolean,problema:string,ajustes:array<string>,criterio:str
 
 
 def prompt_text(name: str) -> str:
+    """The prompts are stored word for word, because stored answers are found by their hash."""
     return (Path(__file__).parent / f"{name}_prompt.txt").read_text(encoding="utf-8")
 
 
@@ -38,6 +39,7 @@ class Criterion(ABC):
     def prompt_hash(self) -> str:
         return hashlib.sha1(self.system_prompt.encode()).hexdigest()[:8]
 
+    # The wording of the prompts, which the recorded answers belong to.
     def prompt(self, text: Column, language: Column) -> Column:
         quoted = F.replace(text, F.lit('"'), F.lit("'"))
         return F.concat(F.lit("Idioma detectado: "), language, F.lit('\nAfirmacion: "'), quoted, F.lit('"\n\nJSON:'))

@@ -64,9 +64,9 @@ def reason_of(causal: Column, contrast: Column, window: Column) -> Column:
 
 class Causal(Criterion):
     id = "framing-causal"
-    name = "Framing causal"
-    description = "Afirmaciones con lenguaje causal fuerte sin comparacion, contrafactual ni ventana temporal razonable."
-    scope = "Evalua la estructura del argumento, no verifica la veracidad del hecho."
+    name = "Encuadre causal"
+    description = "Busca frases que atribuyen un efecto a una causa sin contraste ni plazo creible."
+    scope = "Mide como se arma la atribucion; no dice si lo atribuido ocurrio."
     system_prompt = prompt_text("causal")
     keys_reminder = "3 claves exactas (causal, contraste, ventana)"
     gate = Gate(ENTRIES)

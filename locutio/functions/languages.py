@@ -8,14 +8,22 @@ from pyspark.sql import functions as F
 from .text import let, squeeze
 
 # Three-letter and two-letter codes.
-_CODES = """spa es eng en por pt fra fr deu de ita it cat ca glg gl eus eu nld nl rus ru ukr uk pol pl ron ro ell el tur tr arb ar ara ar heb he pes fa fas fa
-hin hi ben bn urd ur ind id zsm ms jpn ja kor ko cmn zh vie vi tha th swe sv nob no nno no dan da fin fi ces cs slk sk hun hu bul bg hrv hr srp sr lit lt
-lav lv est et kat ka hye hy afr af swh sw tgl tl""".split()
+CODES = {
+    "spa": "es", "eng": "en", "por": "pt", "fra": "fr", "deu": "de", "ita": "it", "cat": "ca", "glg": "gl", "eus": "eu", "nld": "nl", "rus": "ru",
+    "ukr": "uk", "pol": "pl", "ron": "ro", "ell": "el", "tur": "tr", "arb": "ar", "ara": "ar", "heb": "he", "pes": "fa", "fas": "fa", "hin": "hi",
+    "ben": "bn", "urd": "ur", "ind": "id", "zsm": "ms", "jpn": "ja", "kor": "ko", "cmn": "zh", "vie": "vi", "tha": "th", "swe": "sv", "nob": "no",
+    "nno": "no", "dan": "da", "fin": "fi", "ces": "cs", "slk": "sk", "hun": "hu", "bul": "bg", "hrv": "hr", "srp": "sr", "lit": "lt", "lav": "lv",
+    "est": "et", "kat": "ka", "hye": "hy", "afr": "af", "swh": "sw", "tgl": "tl",
+}
 # Names of the languages.
-_NAMES = """es Español en Inglés pt Portugués fr Francés de Alemán it Italiano ca Catalán gl Gallego eu Euskera nl Neerlandés ru Ruso uk Ucraniano pl Polaco
-ro Rumano el Griego tr Turco ar Árabe he Hebreo fa Persa hi Hindi bn Bengalí ur Urdu id Indonesio ms Malayo ja Japonés ko Coreano zh Chino vi Vietnamita
-th Tailandés sv Sueco no Noruego da Danés fi Finlandés cs Checo sk Eslovaco hu Húngaro bg Búlgaro hr Croata sr Serbio lt Lituano lv Letón et Estonio
-ka Georgiano hy Armenio af Afrikáans sw Suajili tl Tagalo und Indeterminado""".split()
+NAMES = {
+    "es": "Español", "en": "Inglés", "pt": "Portugués", "fr": "Francés", "de": "Alemán", "it": "Italiano", "ca": "Catalán", "gl": "Gallego",
+    "eu": "Euskera", "nl": "Neerlandés", "ru": "Ruso", "uk": "Ucraniano", "pl": "Polaco", "ro": "Rumano", "el": "Griego", "tr": "Turco", "ar": "Árabe",
+    "he": "Hebreo", "fa": "Persa", "hi": "Hindi", "bn": "Bengalí", "ur": "Urdu", "id": "Indonesio", "ms": "Malayo", "ja": "Japonés", "ko": "Coreano",
+    "zh": "Chino", "vi": "Vietnamita", "th": "Tailandés", "sv": "Sueco", "no": "Noruego", "da": "Danés", "fi": "Finlandés", "cs": "Checo",
+    "sk": "Eslovaco", "hu": "Húngaro", "bg": "Búlgaro", "hr": "Croata", "sr": "Serbio", "lt": "Lituano", "lv": "Letón", "et": "Estonio",
+    "ka": "Georgiano", "hy": "Armenio", "af": "Afrikáans", "sw": "Suajili", "tl": "Tagalo", "und": "Indeterminado",
+}
 
 #: Texts below are undetermined; a segment below doesn't override its document; languages that a segment may switch to.
 MIN_TEXT, MIN_SEGMENT, CANDIDATES = 20, 140, 6
@@ -31,13 +39,6 @@ FUNCTION_WORDS = {
 }
 
 
-def _pairs(flat: list[str]) -> dict[str, str]:
-    return dict(zip(flat[::2], flat[1::2]))
-
-
-CODES, NAMES = _pairs(_CODES), _pairs(_NAMES)
-
-
 def _lookup(table: dict[str, str], key: Column) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), key)
 

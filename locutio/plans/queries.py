@@ -359,10 +359,10 @@ def language_names(spark, sf):
 # ---------------------------------------------------------------- gate
 
 _SENTENCES = [
-    (1, "subio por culpa de ellos"), (2, "eso provocó la crisis"), (3, "La crisis fue provocada por la reforma."), (4, "la medida produjo una caida inmediata"), (5, "the policy led to chaos"),
-    (6, "El informe se publicara el martes."), (7, "la causalidad y el causante son conceptos distintos"), (8, "And so it for 250 years has been subject to every single regulation."),
-    (9, "I was so tired that day and everyone noticed it."), (10, "todo el mundo sabe que es asi"), (11, "Todos los estudios demuestran que funciona"), (12, "Saben que unir la energia limpia"),
-    (13, "that's why it caused2 a  result of, because of that"), (14, "À cause de la hausse, die Reform ist ausgelöst"), (15, ""), (16, None),
+    (1, "perdimos la cosecha por culpa de la helada"), (2, "aquel decreto provocó tres cierres"), (3, "La huelga fue provocada por un rumor."), (4, "la sequia produjo un exodo lento"), (5, "cheap loans led to empty towers"),
+    (6, "La biblioteca abre los lunes."), (7, "hablaron de causalidad y del agente causante"), (8, "And so it rained for nine weeks along the coast."),
+    (9, "we were so late and nobody waited for us"), (10, "todo el mundo sabe que llueve en abril"), (11, "Todos los estudios demuestran lo mismo"), (12, "Saben que mañana habrá niebla"),
+    (13, "that's why it caused2 a  result of, because of that"), (14, "À cause de la pluie, der Sturm hat das ausgelöst"), (15, ""), (16, None),
 ]
 
 
@@ -420,6 +420,7 @@ def criteria_catalog(spark, sf):
 # ---------------------------------------------------------------- verdicts
 
 _COMBOS = [(c, k, w) for c in (True, False) for k in (True, False) for w in ("ninguna", "corta", "razonable")]
+# In the SQL of this section, the scores and the Spanish wordings of results.
 _SQL_SCORE = "case when not c then 0.15 when k then case w when 'razonable' then 0.25 else 0.45 end when w = 'razonable' then 0.6 when w = 'corta' then 0.9 else 0.75 end"
 _SQL_REASON = "(case when c then 'Lenguaje causal fuerte' else 'Sin lenguaje causal fuerte' end) || ', ' || (case when k then 'con comparacion o contrafactual' else 'sin comparacion ni contrafactual' end) || ', ' || (case w when 'ninguna' then 'sin plazo declarado' when 'corta' then 'con un plazo de dias o semanas' else 'con un plazo de meses o anos' end) || '.'"
 
@@ -740,6 +741,7 @@ def _report(spark, sf):
 
 
 _CLOCK = "lpad((s // 3600)::varchar, 2, '0') || ':' || lpad((s % 3600 // 60)::varchar, 2, '0') || ':' || lpad((s % 60)::varchar, 2, '0')"
+# Names of languages.
 _SQL_NAMES = "(case lang when 'es' then 'Español' when 'en' then 'Inglés' when 'fr' then 'Francés' when 'de' then 'Alemán' else upper(lang) end)"
 
 

@@ -17,6 +17,7 @@ ROLLING_WORDS, ROLLING_PAIRS, ROLLING_SHARE = 4, 4, 0.3
 WORDS_A_SECOND, MIN_DURATION, MIN_MARKS = 2.5, 1.0, 3
 PARSER_VERSION = 2
 
+# How time lines and time marks are written.
 _T = r"(?:\d{1,2}:)?\d{1,2}:\d{2}[.,]\d{1,3}"
 TIMES = rf"({_T})\s*-->\s*({_T})"
 MARKED = r"^\s*[\[(]?((?:\d{1,2}:)?\d{1,2}:\d{2}(?:[.,]\d{1,3})?)[\])]?\s*[-–:]?\s*(.+)$"
