@@ -179,16 +179,23 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 64, budget: int
     return prints.join(reached, "fp").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-#: Up to so many ids of copies (8 bytes each) go to every executor, so that texts aren't shuffled; more are joined by a shuffle.
-BROADCAST_IDS = 8_000_000
+#: Up to so many ids (about 32 bytes each in a hash table) go to every executor, so that texts aren't shuffled; more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 #: Near copies: Jaccard similarity of the sets of five-word shingles at least 4 in 5.
 NEAR_WORDS, NEAR_PART, NEAR_WHOLE = 5, 4, 5
-#: Shingles that so many documents of one batch hold come last in the order of prefixes.
-_COMMON = 8
+#: Shingles that so many documents of one batch hold come last in the order of prefixes; at most so many are told to the executors (16 bytes each).
+_COMMON, _TOLD = 8, 500_000
+#: Guesses of near copies that each document confirms before all others are sought, and how far back a guess looks in a bucket.
+_GUESSES, _BACK = 3, 1024
 
 
-def _common_shingles(docs: DataFrame, most: int = 1_000_000) -> dict[int, int]:
-    """Shingles that many documents hold and roughly how many; it only sets an order, so what it lacks costs time and no pair."""
+def _few(rows: DataFrame) -> DataFrame:
+    """rows (stored), marked for a broadcast if their number is small enough."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
+
+
+def _common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many documents hold, sorted, and roughly how many; it only sets an order, so what it lacks costs time and no pair."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -208,97 +215,151 @@ def _common_shingles(docs: DataFrame, most: int = 1_000_000) -> dict[int, int]:
         if held:
             yield batch_of()
 
-    found = docs.select("text").mapInArrow(counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(most).toArrow()
-    return dict(zip(found["shingle"].to_pylist(), found["n"].to_pylist()))
+    found = docs.select("text").mapInArrow(counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(_TOLD).toArrow()
+    keys, counts = np.asarray(found["shingle"], np.int64), np.asarray(found["n"], np.int64)
+    order = np.argsort(keys)
+    return keys[order], counts[order]
 
 
 def _prefixes(docs: DataFrame) -> DataFrame:
-    """(doc_id, sig, n, prefix, counts): the sets' sizes and first shingles, rare ones first, of which similar sets share one; shingles by their last
-    byte, or nothing where one count exceeds a byte."""
+    """(doc_id, sig, n, prefix, counts, fp): the sets' sizes and first shingles, rare ones first, of which similar sets share one; shingles by their last
+    byte, or nothing where one count exceeds a byte; the 64-bit fingerprint of the set."""
     shared = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs))
-    held: list[tuple] = []
 
     def kernel(rows: Iterator[tuple]) -> Iterator[tuple]:
-        if not held:
-            keys = np.array(sorted(shared.value), np.int64)
-            held.append((keys, np.array([shared.value[k] for k in keys.tolist()], np.int64)))
-        keys, counts = held[0]
+        keys, counts = shared.value
         for doc_id, text in rows:
-            own = np.unique(shingle_hashes(text, NEAR_WORDS)).view(np.int64)
+            own = np.unique(shingle_hashes(text, NEAR_WORDS))
+            fp = int.from_bytes(fingerprint(own), "big", signed=True)
+            own = own.view(np.int64)
             weight = np.zeros(len(own), np.int64)
             if len(keys):
                 at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
                 weight = np.where(keys[at] == own, counts[at], 0)
             first = np.lexsort((own, weight))[: len(own) - -(-NEAR_PART * len(own) // NEAR_WHOLE) + 1]
             by_byte = np.bincount(own & 255, minlength=256)
-            yield doc_id, xxhash.xxh3_128_digest(own.tobytes()), len(own), own[first].tolist(), by_byte.astype(np.uint8).tobytes() if by_byte.max() < 256 else b""
+            yield doc_id, xxhash.xxh3_128_digest(own.tobytes()), len(own), own[first].tolist(), by_byte.astype(np.uint8).tobytes() if by_byte.max() < 256 else b"", fp
 
-    schema = pa.schema([("doc_id", pa.int64()), ("sig", pa.binary()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64())), ("counts", pa.binary())])
-    return per_document(docs.select("doc_id", "text"), kernel, schema, "doc_id long, sig binary, n long, prefix array<long>, counts binary")
+    schema = pa.schema([("doc_id", pa.int64()), ("sig", pa.binary()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64())), ("counts", pa.binary()), ("fp", pa.int64())])
+    return per_document(docs.select("doc_id", "text"), kernel, schema, "doc_id long, sig binary, n long, prefix array<long>, counts binary, fp long")
 
 
-def bucket_pairs(shingle: np.ndarray, n: np.ndarray, pos: np.ndarray, at_most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(i, j, lead) row pairs with one shingle (rows sorted by it) whose sizes and places allow the similarity; lead: i is its bucket's first row."""
-    if not len(shingle):
-        return
-    starts = np.concatenate([[0], np.flatnonzero(np.diff(shingle)) + 1, [len(shingle)]])
-    end, first = np.repeat(starts[1:], np.diff(starts)), np.repeat(starts[:-1], np.diff(starts))
-    more = end - np.arange(len(shingle)) - 1
-    rows = np.flatnonzero(more)
-    total = np.cumsum(more[rows])
+def _paired(first: np.ndarray, count: np.ndarray, size: np.ndarray, at_most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) row pairs, row i with count[i] rows from first[i] on, whose sizes and places allow the similarity. size: n * 2**32 + place."""
+    n, rest = size >> 32, (size >> 32) - (size & 0xFFFFFFFF)
+    rows = np.flatnonzero(count > 0)
+    total = np.cumsum(count[rows])
     at = 0
     while at < len(rows):
         upto = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + at_most, "right")))
         own = rows[at:upto]
-        i = np.repeat(own, more[own])
-        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(more[own]) - more[own], more[own])
+        i = np.repeat(own, count[own])
+        j = np.repeat(first[own] - np.cumsum(count[own]) + count[own], count[own]) + np.arange(len(i))
         ok = NEAR_WHOLE * np.minimum(n[i], n[j]) >= NEAR_PART * np.maximum(n[i], n[j])
-        ok &= (NEAR_WHOLE + NEAR_PART) * np.minimum(n[i] - pos[i], n[j] - pos[j]) >= NEAR_PART * (n[i] + n[j])
-        yield i[ok], j[ok], i[ok] == first[i[ok]]
+        ok &= (NEAR_WHOLE + NEAR_PART) * np.minimum(rest[i], rest[j]) >= NEAR_PART * (n[i] + n[j])
+        yield i[ok], j[ok]
         at = upto
 
 
-def _candidates(classes: DataFrame) -> DataFrame:
-    """(u, v, lead) of distinct sets that can be similar."""
-    rows = classes.select("root", "n", F.posexplode("prefix").alias("pos", "shingle")).select("shingle", "root", "n", "pos")
-    dealt = rows.repartition("shingle").sortWithinPartitions("shingle", "root")
+def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the first row and the end of its run of equal keys."""
+    n = len(keys[0])
+    new = np.zeros(n, bool)
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    starts = np.concatenate([[0], np.flatnonzero(new), [n]]) if n else np.zeros(1, int)
+    sizes = np.diff(starts)
+    return np.repeat(starts[:-1], sizes), np.repeat(starts[1:], sizes)
 
-    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = np.empty((4, 0), np.int64)
 
-        def found(x: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for i, j, lead in bucket_pairs(x[0], x[2], x[3]):
-                yield pa.RecordBatch.from_arrays([pa.array(x[1][i]), pa.array(x[1][j]), pa.array(lead)], names=["u", "v", "lead"])
+def nearest_earlier(shingle: np.ndarray, size: np.ndarray, fp: np.ndarray, back: int = _BACK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(later, earlier, differing bits): for each row the row of its bucket before it with the nearest fingerprint, among the bucket's first and at
+    most so many last before it. Rows are sorted by shingle."""
+    first, end = _runs(shingle)
+    row = np.arange(len(shingle))
+    count = np.where(row == first, end - row - 1, np.minimum(end - row - 1, back))
+    best = np.full(len(shingle), np.iinfo(np.int64).max)
+    for i, j in _paired(row + 1, count, size):
+        np.minimum.at(best, j, np.bitwise_count(fp[i] ^ fp[j]).astype(np.int64) << 40 | i)
+    later = np.flatnonzero(best < np.iinfo(np.int64).max)
+    return later, best[later] & ((1 << 40) - 1), best[later] >> 40
+
 
+def _by_shingle(dealt: DataFrame, kernel, ddl: str) -> DataFrame:
+    """kernel over whole buckets of rows (long columns, the first the shingle) that are dealt and sorted by shingle."""
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
         for batch in batches:
-            rest = np.concatenate([rest, np.array([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]).reshape(4, -1)], 1)
-            cut = int(np.searchsorted(rest[0], rest[0][-1])) if rest.shape[1] else 0
-            if cut:
-                yield from found(rest[:, :cut])
-                rest = rest[:, cut:]
-        yield from found(rest)
+            x = np.array([c.to_numpy(zero_copy_only=False) for c in batch.columns], np.int64).reshape(batch.num_columns, -1)
+            cut = int(np.searchsorted(x[0], x[0][-1])) if x.shape[1] else 0
+            if cut or (held and x.shape[1] and held[-1][0][-1] != x[0][0]):
+                yield from kernel(np.concatenate([*held, x[:, :cut]], 1))
+                held, x = [], x[:, cut:]
+            if x.shape[1]:
+                held.append(x)
+        if held:
+            yield from kernel(np.concatenate(held, 1))
+
+    return dealt.mapInArrow(mapped, ddl)
+
+
+def _guessed(firsts: DataFrame) -> DataFrame:
+    """Rows (u, v, bits, null, null) of guessed links, and rows (root, null, null, shingle, size) of the buckets with two rows or more."""
+    size = (F.shiftleft(F.col("n"), 32) + F.col("pos")).alias("size")
+    rows = firsts.select(F.col("doc_id").alias("root"), "n", "fp", F.posexplode("prefix").alias("pos", "shingle")).select("shingle", "root", size, "fp")
+    names = ["u", "v", "bits", "shingle", "size"]
+
+    def kernel(x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        first, end = _runs(x[0])
+        x = x[:, end - first > 1]
+        later, earlier, bits = nearest_earlier(x[0], x[2], x[3].view(np.uint64))
+        none = pa.nulls(len(later), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(x[1][later]), pa.array(x[1][earlier]), pa.array(bits), none, none], names=names)
+        none = pa.nulls(x.shape[1], pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(x[1]), none, none, pa.array(x[0]), pa.array(x[2])], names=names)
+
+    return _by_shingle(rows.repartition("shingle").sortWithinPartitions("shingle", "root"), kernel, "u long, v long, bits long, shingle long, size long")
+
 
-    pairs = dealt.mapInArrow(mapped, "u long, v long, lead boolean")
-    return pairs.where("u <> v").groupBy("u", "v").agg(F.max("lead").alias("lead"))
+def _across(rows: DataFrame, components: DataFrame) -> DataFrame:
+    """(u, v) pairs of one bucket of rows (shingle, root, size) and different components that can be similar."""
+    told = checkpointed(rows.join(components, F.col("root") == F.col("node"), "left").select("shingle", F.coalesce("component", "root").alias("c"), "root", "size"))
+    mixed = told.groupBy("shingle").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("shingle")
 
+    def kernel(x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        end, own_end = _runs(x[0])[1], _runs(x[0], x[1])[1]
+        for i, j in _paired(own_end, end - own_end, x[3]):
+            u, v = x[2][i], x[2][j]
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
 
-def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The (u, v, lead) of pairs whose counts allow the similarity: sets have at most the lesser count of each byte in common. No similar pair is lost."""
-    side = lambda k, c: classes.select(F.col("root").alias(k), F.col("n").alias(f"n{k}"), F.col("counts").alias(c))
-    both = pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "lead", "nu", "nv", "a", "b")
+    return _by_shingle(told.join(mixed, "shingle").repartition("shingle").sortWithinPartitions("shingle", "c", "root"), kernel, "u long, v long").distinct()
+
+
+def _possible(pairs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """The (u, v) of pairs whose counts allow the similarity: sets have at most the lesser count of each byte in common. No similar pair is lost."""
+    side = lambda k, c: firsts.select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("counts").alias(c))
+    both = pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "nu", "nv", "a", "b")
 
     def kernel(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for u, v, lead, n, m, a, b in rows:
+        for u, v, n, m, a, b in rows:
             most = int(np.minimum(np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)).sum()) if a and b else min(n, m)
             if (NEAR_WHOLE + NEAR_PART) * most >= NEAR_PART * (n + m):
-                yield u, v, lead
+                yield u, v
+
+    return per_document(both, kernel, pa.schema([("u", pa.int64()), ("v", pa.int64())]), "u long, v long").distinct()
 
-    found = per_document(both, kernel, pa.schema([("u", pa.int64()), ("v", pa.int64()), ("lead", pa.bool_())]), "u long, v long, lead boolean")
-    return found.groupBy("u", "v").agg(F.max("lead").alias("lead"))
 
+def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The (u, v) of pairs (stored) whose whole sets of shingles are similar enough."""
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The (u, v) of pairs whose whole sets of shingles are similar enough."""
+    def whole(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for doc_id, text in rows:
+            yield doc_id, np.unique(shingle_hashes(text, NEAR_WORDS)).tobytes()
+
+    nodes = checkpointed(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct())
+    texts = docs.select("doc_id", "text").join(_few(nodes), "doc_id", "left_semi")
+    sets = checkpointed(per_document(texts, whole, pa.schema([("root", pa.int64()), ("own", pa.binary())]), "root long, own binary"))
     both = pairs.join(sets.select(F.col("root").alias("u"), F.col("own").alias("a")), "u").join(sets.select(F.col("root").alias("v"), F.col("own").alias("b")), "v").select("u", "v", "a", "b")
 
     def kernel(rows: Iterator[tuple]) -> Iterator[tuple]:
@@ -314,36 +375,38 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def near_copies(docs: DataFrame) -> DataFrame:
     """(node, component) of the documents that have a near copy: components over every pair with five-word Jaccard similarity of 0.8 or more.
 
-    Prefix filtering finds all such pairs, and each is confirmed on the whole texts. Equal sets count as one. Pairs with the first row of a bucket are
-    confirmed first; of the others only those that these don't connect.
+    Links are guessed first: the trie's links of the sets' fingerprints, and for each document the nearest fingerprints before it in the buckets of
+    prefix filtering. At most three guesses a document are confirmed on whole texts, so a group of copies costs a few links each and not all pairs.
+    Prefix filtering then gives every pair that can be similar and that these links leave in different components, and these are confirmed too.
     """
-    prints = checkpointed(_prefixes(docs.where("doc_id is not null")))
-    classes = checkpointed(prints.groupBy("sig").agg(F.min("doc_id").alias("root"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("counts").alias("counts")))
-    equal = prints.join(classes.select("sig", "root"), "sig").select(F.col("doc_id").alias("u"), F.col("root").alias("v")).where("u <> v")
-    pairs = checkpointed(_possible(_candidates(classes), classes))
-    nodes = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-
-    def whole(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for doc_id, text in rows:
-            yield doc_id, np.unique(shingle_hashes(text, NEAR_WORDS)).tobytes()
-
-    sets = checkpointed(per_document(docs.select("doc_id", "text").join(nodes, "doc_id", "left_semi"), whole, pa.schema([("root", pa.int64()), ("own", pa.binary())]), "root long, own binary"))
-    links = checkpointed(_confirmed(pairs.where("lead"), sets).unionByName(equal))
-    reached = connected_components(links)
-    side = lambda k: reached.select(F.col("node").alias(k), F.col("component").alias(f"c{k}"))
-    left = pairs.where("not lead").join(side("u"), "u", "left").join(side("v"), "v", "left").where("coalesce(cu, u) <> coalesce(cv, v)").select("u", "v")
-    return connected_components(_confirmed(left, sets).unionByName(links))
+    docs = docs.where("doc_id is not null")
+    prints = checkpointed(_prefixes(docs))
+    classes = prints.groupBy("sig").agg(F.min("doc_id").alias("root"), F.count("*").alias("held")).where("held > 1")
+    equal = checkpointed(prints.select("sig", "doc_id").join(classes, "sig").where("doc_id <> root").select("sig", "doc_id", "root").distinct())
+    firsts = prints.join(_few(equal.select("sig", "doc_id")), ["sig", "doc_id"], "left_anti")
+    found = checkpointed(_guessed(firsts))
+    prefixes = found.where("v is null").select("shingle", F.col("u").alias("root"), "size")
+    fingerprints = firsts.groupBy("fp").agg(F.min("doc_id").alias("root")).select(F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("fp"), "root")
+    trie = links(fingerprints, 64, 3).select("u", "v", F.lit(3).cast("long").alias("bits"))
+    guesses = found.where("v is not null").select("u", "v", "bits").unionByName(trie).where("u <> v")
+    nearest = guesses.groupBy("u").agg(F.slice(F.array_sort(F.collect_set(F.struct("bits", "v"))), 1, _GUESSES).alias("g"))
+    guesses = checkpointed(_possible(nearest.select("u", F.explode("g").alias("g")).select("u", "g.v").distinct(), firsts))
+    near = checkpointed(_confirmed(guesses, docs).unionByName(equal.select(F.col("doc_id").alias("u"), F.col("root").alias("v"))))
+    components = checkpointed(connected_components(near))
+    rest = checkpointed(_possible(_across(prefixes, components), firsts))
+    more = _confirmed(rest, docs)
+    return connected_components(components.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs without the rows whose component has a smaller doc_id: one document of each group of near copies (0.8 on five words) stays.
 
-    A document without any word is like no other and stays; so does a row without a doc_id. Rows that repeat a doc_id stay or go together.
+    A document without any word is like no other and stays; so does a row without a doc_id. Rows that repeat a doc_id stay or go together. Other
+    columns go through, whatever their names.
     """
-    some = docs.where("text is not null").where(F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
+    some = docs.where("text is not null").where(F.col("text").rlike("[^\\x20\\x09-\\x0D]")).select("doc_id", "text")
     gone = checkpointed(near_copies(some).where("node <> component").select(F.col("node").alias("doc_id")).distinct())
-    small = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(_few(gone), "doc_id", "left_anti").select(docs.columns)
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
