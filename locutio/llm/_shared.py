@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -23,7 +24,7 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", "")
     if not named:
-        if not sc.master.startswith("local["):
+        if not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="checkpoints-"))
@@ -83,6 +84,18 @@ def appended(df: DataFrame, inputs: list[str], kernel: Callable[..., tuple], fie
     return df.mapInArrow(mapped, out)
 
 
+def filtering(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """stage(docs, ...), which returns rows with the columns of docs, for docs with any other columns: names that could clash are changed meanwhile."""
+
+    @functools.wraps(stage)
+    def run(docs: DataFrame, *args: object, **options: object) -> DataFrame:
+        names = docs.columns
+        plain = [f"other{k}{c}" if c.startswith("_") else c for k, c in enumerate(names)]
+        return stage(docs.toDF(*plain), *args, **options).toDF(*names)
+
+    return run
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(u, v) long pairs, any direction, repeats allowed -> (node, component), component the smallest node reachable.
 

@@ -13,19 +13,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import appended, checkpointed, table
+from ._shared import appended, checkpointed, filtering, table
 
 REGISTERS = 256
 MIN_SITES = 10
 #: Up to so many boilerplate hashes (16 bytes each) go to every executor; more are joined to their documents by a shuffle.
 BROADCAST_LINES = 1_000_000
-#: Shorter lines are headings and fragments, which many sites share by chance.
-MIN_WORDS = 3
 
 
-def _line_rows(docs: DataFrame) -> DataFrame:
-    lines = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("site"), F.explode(F.split("text", "\n")).alias("line"))
-    return lines.where(F.col("line").rlike("[^ ] +[^ ]+ +[^ ]")).select("doc_id", "site", F.xxhash64(F.trim("line")).alias("line"))
+def _line_rows(docs: DataFrame, *also: str) -> DataFrame:
+    """(doc_id, site, line) of each line that isn't blank."""
+    lines = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("site"), F.explode(F.split("text", "\n")).alias("line"), *also)
+    return lines.where(F.trim("line") != "").select("doc_id", "site", F.xxhash64(F.trim("line")).alias("line"), *also)
 
 
 def line_spread(docs: DataFrame, registers: int = REGISTERS) -> DataFrame:
@@ -53,28 +52,37 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, registers: int = RE
     return sure.unionByName(near.join(exact, "line", "left_semi").select("line", "keeper"))
 
 
-def _kept(text: str, doc_id: int, keepers: dict) -> tuple[str, int, int]:
-    lines = text.split("\n")
-    kept, seen = [], set()
-    for line in lines:
-        if line.count(" ") > 1 and len([w for w in line.split(" ") if w]) >= MIN_WORDS:
-            h = xxhash.xxh64_intdigest(line.strip(" ").encode("utf-8", "surrogatepass"), 42)
-            h -= (h >> 63) << 64
-            if (keeper := keepers.get(h, keepers)) is not keepers:
-                if keeper != doc_id or h in seen:
-                    continue
-                seen.add(h)
-        kept.append(line)
-    return "\n".join(kept), len(lines), len(lines) - len(kept)
+def _kept(text: str, doc_id: int | None, lines: np.ndarray, keepers: np.ndarray, no_keeper: np.ndarray) -> tuple[str, int, int]:
+    """text without the lines whose hash is among lines (sorted), but for the first of each that doc_id keeps; number of lines, and of those removed."""
+    own = text.split("\n")
+    at = [k for k, line in enumerate(own) if line.strip(" ")]
+    if not at or not len(lines):
+        return text, len(own), 0
+    h = np.array([xxhash.xxh64_intdigest(own[k].strip(" ").encode("utf-8", "surrogatepass"), 42) for k in at], np.uint64).view(np.int64)
+    place = np.minimum(np.searchsorted(lines, h), len(lines) - 1)
+    gone, seen = set(), set()
+    for k in np.flatnonzero(lines[place] == h).tolist():
+        p = int(place[k])
+        if doc_id is None or no_keeper[p] or keepers[p] != doc_id or p in seen:
+            gone.add(at[k])
+        seen.add(p)
+    return "\n".join(line for k, line in enumerate(own) if k not in gone), len(own), len(gone)
+
+
+def _arrays(lines: list[int], keepers: list[int | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    hashes = np.array(lines, np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], np.array([k or 0 for k in keepers], np.int64)[order], np.array([k is None for k in keepers], bool)[order]
 
 
 def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """(doc_id, text, n_lines, n_removed) of each row of docs: text without the lines that are boilerplate.
 
-    Lines are what newlines part; they count as equal if they are so without outer spaces, and only from three words on. A site is the column
-    source; a null source is one site. A null text stays null with no lines; rows that share a doc_id are one document.
+    Lines are what newlines part; they count as equal if they are so without outer spaces, whatever their length, and blank lines always stay. A site is
+    the column source; a null source is one site. The smallest doc_id that holds a line keeps its first copy, in each row that repeats that doc_id. A row
+    without a doc_id counts for the sites and keeps no boilerplate. A null text stays null with no lines.
     """
-    return _stripped(docs, min_sites, broadcast_lines).select("doc_id", F.col("__text").alias("text"), F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"))
+    return _stripped(docs.select("doc_id", "text", "source"), min_sites, broadcast_lines).select("doc_id", F.col("__text").alias("text"), F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"))
 
 
 def _stripped(docs: DataFrame, min_sites: int, broadcast_lines: int) -> DataFrame:
@@ -82,24 +90,26 @@ def _stripped(docs: DataFrame, min_sites: int, broadcast_lines: int) -> DataFram
     fields = [("text", pa.string(), "string"), ("n_lines", pa.int64(), "bigint"), ("n_removed", pa.int64(), "bigint")]
     if found.count() <= broadcast_lines:
         local = found.toArrow()
-        shared = docs.sparkSession.sparkContext.broadcast((np.array(local["line"], np.int64), local["keeper"].to_pylist()))
-        held: list[dict] = []
+        shared = docs.sparkSession.sparkContext.broadcast(_arrays(local["line"].to_pylist(), local["keeper"].to_pylist()))
 
         def kernel(doc_id: int | None, text: str | None) -> tuple:
-            if not held:
-                held.append(dict(zip(shared.value[0].tolist(), shared.value[1], strict=True)))
-            return (None, 0, 0) if text is None else _kept(text, doc_id, held[0])
+            return (None, 0, 0) if text is None else _kept(text, doc_id, *shared.value)
 
         return appended(docs, ["doc_id", "text"], kernel, fields)
 
-    own = _line_rows(docs).select("doc_id", "line").distinct().join(found, "line").groupBy("doc_id").agg(F.collect_list(F.struct("line", "keeper")).alias("__lines"))
+    # a row is known by its doc_id, which may be null, and its text
+    keyed = docs.withColumn("__row", F.xxhash64("text"))
+    own = _line_rows(keyed, "__row").select("doc_id", "__row", "line").distinct().join(found, "line")
+    own = own.groupBy(F.col("doc_id").alias("__id"), F.col("__row").alias("__key")).agg(F.collect_list(F.struct("line", "keeper")).alias("__lines"))
+    both = keyed.join(own, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__key")), "left").select(*docs.columns, "__lines")
 
     def joined(doc_id: int | None, text: str | None, lines: list | None) -> tuple:
-        return (None, 0, 0) if text is None else _kept(text, doc_id, {x["line"]: x["keeper"] for x in lines or ()})
+        return (None, 0, 0) if text is None else _kept(text, doc_id, *_arrays([x["line"] for x in lines or ()], [x["keeper"] for x in lines or ()]))
 
-    return appended(docs.join(own, "doc_id", "left"), ["doc_id", "text", "__lines"], joined, fields)
+    return appended(both, ["doc_id", "text", "__lines"], joined, fields)
 
 
+@filtering
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs with text replaced by what is left of it (and n_chars by its length); a document that was nothing but boilerplate goes."""
     left = _stripped(docs, MIN_SITES, BROADCAST_LINES).where("__text is null or __n_removed = 0 or __text rlike '[^ \\n]'")
@@ -117,11 +127,11 @@ ORACLE_SQL = {
     "op7_lines": r"""
 with l as (select doc_id, coalesce(source, '') as site, i, string_split(text, chr(10))[i] as line
            from documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) as t(i) where text is not null),
-k as (select *, trim(line, ' ') as t, regexp_matches(line, '[^ ] +[^ ]+ +[^ ]') as counts from l),
+k as (select *, trim(line, ' ') as t, trim(line, ' ') <> '' as counts from l),
 b as (select t, min(doc_id) as keeper from k where counts group by t having count(distinct site) >= 10),
 f as (select k.*, b.keeper, b.t is not null and k.counts as bad, row_number() over (partition by k.doc_id, k.t order by i) as nth
       from k left join b on k.t = b.t),
-g as (select *, bad and not (doc_id = keeper and nth = 1) as gone from f),
+g as (select *, bad and not coalesce(doc_id = keeper and nth = 1, false) as gone from f),
 h as (select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_removed,
              coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '') as kept from g group by doc_id)
 select d.doc_id, coalesce(n_lines, 0)::bigint as n_lines, coalesce(n_removed, 0)::bigint as n_removed, case when d.text is not null then sha256(kept) end as kept_sha256

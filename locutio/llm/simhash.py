@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import checkpointed, connected_components, per_document, table
+from ._shared import checkpointed, connected_components, filtering, per_document, table
 
 SEED = 42
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -398,6 +398,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     return connected_components(components.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
 
 
+@filtering
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs without the rows whose component has a smaller doc_id: one document of each group of near copies (0.8 on five words) stays.
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import appended, per_document, table
+from ._shared import appended, filtering, per_document, table
 
 #: At most so many labelled documents, those with the smallest hash of doc_id, are used for fitting.
 SAMPLE = 10_000
@@ -167,6 +167,7 @@ def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFram
     return found.select("doc_id", *(F.col(f"__{c}").alias(c) for c, _ in CATEGORIES), F.col("__flagged").alias("flagged"))
 
 
+@filtering
 def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """docs without the rows that the chain flags; every row is judged by its own text, in one pass."""
     return _judged(docs, labels, sample).where("not __flagged").select(docs.columns)

@@ -211,6 +211,7 @@ def test_kept_lines():
 
     key = lambda s: xxhash.xxh64_intdigest(s.encode(), 42) - ((xxhash.xxh64_intdigest(s.encode(), 42) >> 63) << 64)
     text = "  one two three \nx y\none two three\nlast line here"
-    assert lines._kept(text, 1, {key("one two three"): 1}) == ("  one two three \nx y\nlast line here", 4, 1)
-    assert lines._kept(text, 2, {key("one two three"): 1}) == ("x y\nlast line here", 4, 2)
-    assert lines._kept("", 2, {}) == ("", 1, 0)
+    told = lines._arrays([key("one two three"), 5], [1, None])
+    assert lines._kept(text, 1, *told) == ("  one two three \nx y\nlast line here", 4, 1)
+    assert lines._kept(text, 2, *told) == lines._kept(text, None, *told) == ("x y\nlast line here", 4, 2)
+    assert lines._kept("", 2, *told) == lines._kept("", 2, *lines._arrays([], [])) == ("", 1, 0)
