@@ -160,16 +160,6 @@ def test_license_templates_confirm_their_own_text_and_no_prose():
     assert [i for i, _ in licenses.blocks(text, re.compile(licenses.CANDIDATE))] == [1, 12]
 
 
-def test_templates_find_replaced_slots_that_are_consistent():
-    items = decontaminate.Items([(7, "Tom Brown had 12 apples and gave 5 apples to his friend while Mary Smith kept 12 kg for later. How many does he have?"), (8, "two words"), (9, "")])
-    match = lambda s: [m[0] for m in items.matches(*decontaminate.template(s))]
-    assert match("said Tom Brown had 12 apples and gave 5 apples to his friend while Mary Smith kept 12 kg for later. How many does he have? Yes") == [7]
-    changed = "now Jim Green had 7 apples and gave 3 apples to his friend while Sue Jones kept {} lb for later. How many does he have?"
-    assert match(changed.format(7)) == [7] and match(changed.format(9)) == []
-    assert match("they said two words again") == [8] and match("") == [] and match("an unrelated text without any of it at all in here") == []
-    assert decontaminate.Items([]).matches(*decontaminate.template("some text")) == []
-
-
 def test_chain_learns_from_out_of_fold_predictions():
     import pyarrow as pa
 

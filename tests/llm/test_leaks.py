@@ -1,5 +1,7 @@
 """Leaks that differ from their item in some slots or some words."""
 
+import random
+
 import pytest
 
 pytest.importorskip("locutio.llm")
@@ -7,8 +9,26 @@ pytest.importorskip("locutio.llm")
 from locutio.llm import decontaminate
 
 
+def leak(item: str, text: str):
+    """What the operator finds, from all pairs of windows."""
+    (icodes, iwords), (codes, words) = (decontaminate.template(x or "") for x in (item, text))
+    width = min(decontaminate.WINDOW, len(icodes))
+    there, own = decontaminate.windows(icodes), decontaminate.windows(codes, width) if len(codes) >= width else []
+    low = lambda w: decontaminate._surface(w).lower()
+    spots = [(p, q, [low(words[t]) for t in range(p, p + width) if codes[t] < 1024]) for p in range(len(own)) for q in range(len(there)) if own[p] == there[q]]
+    return decontaminate.aligned(icodes.tolist(), [low(w) for w in iwords], spots) if spots else None
+
+
 def matched(item: str, text: str) -> list[int]:
-    return [m[0] for m in decontaminate.Items([(7, item)]).matches(*decontaminate.template(text))]
+    return [7] if leak(item, text) else []
+
+
+def test_templates_find_replaced_slots_that_are_consistent():
+    item = "Tom Brown had 12 apples and gave 5 apples to his friend while Mary Smith kept 12 kg for later. How many does he have?"
+    assert matched(item, "said Tom Brown had 12 apples and gave 5 apples to his friend while Mary Smith kept 12 kg for later. How many does he have? Yes") == [7]
+    changed = "now Jim Green had 7 apples and gave 3 apples to his friend while Sue Jones kept {} lb for later. How many does he have?"
+    assert matched(item, changed.format(7)) == [7] and matched(item, changed.format(9)) == []
+    assert matched("two words", "they said two words again") == [7] and matched(item, "") == matched("", "some text") == []
 
 
 def test_a_conflicting_slot_costs_its_windows_only():
@@ -26,3 +46,35 @@ def test_a_long_run_is_a_leak_of_any_item():
     assert matched(" ".join(words), "before it " + " ".join(words[100:250]) + " and after") == [7]
     assert matched(" ".join(words), "before it " + " ".join(words[100:112]) + " and after") == []
     assert matched(" ".join(words), "before it " + " ".join(words[100:113]) + " and after") == [7]
+
+
+def test_one_mapping_over_all_alignments():
+    item = "yesterday our friend Tom went over the long bridge with Anna because the small boat was gone again"
+    first, second = item.replace("Tom", "Jim").replace("Anna", "Sue"), item.replace("Tom", "Bob").replace("Anna", "Sue")
+    assert matched(item, first) == matched(item, second) == matched(item, first + " . And " + second) == [7]
+    halves = " ".join(first.split()[:10]) + " stop here now " + " ".join(second.split()[2:12])
+    assert leak(item, halves) is None or leak(item, halves)[2] < leak(item, first)[2]
+
+
+def test_join_equals_all_pairs(spark):
+    rng = random.Random(5)
+    plain = [f"{a}{b}" for a in ("ba", "ko", "mi", "tu") for b in ("na", "re", "so")]
+    say = lambda n: " ".join(rng.choice([*plain, *plain, "Tom", "Ann", "3", "40", "km", "."]) for _ in range(n))
+    items = [(k, say(rng.randrange(2, 40))) for k in range(30)] + [(31, None), (None, say(20)), (32, "")]
+    texts = [None, "", "  ", "word"]
+    for k in range(150):
+        parts = [say(rng.randrange(0, 30))]
+        for _ in range(rng.randrange(0, 3)):
+            words = rng.choice(items[:30])[1].split()
+            at = rng.randrange(0, len(words))
+            parts += [" ".join(rng.choice(["Tom", "5", w, w, w, w, w, w]) for w in words[at // 2 : len(words) - at // 3]), say(4)]
+        texts.append(" ".join(parts))
+    rows = [(k, t, "x") for k, t in enumerate(texts)] + [(500, texts[10], "y"), (None, texts[11], "z")]
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string, __leaks string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {t: sorted((i, *found) for i, item in items if i is not None and item and (found := leak(item, t))) for t in texts if t is not None}
+    got = decontaminate.contaminated(df, bench).collect()
+    told = {r.doc_id: sorted((x.item_id, x.first, x.tokens, x.share, x.exact) for x in r.leaks) for r in got}
+    assert len(got) == len(rows) and all(told[i] == want.get(t, []) for i, t, _ in rows) and sum(map(bool, want.values())) > 20
+    kept = decontaminate.clean(df, bench)
+    assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(i) for i, t, _ in rows if not want.get(t))
+    assert decontaminate.contaminated(df, bench.limit(0)).where("size(leaks) > 0").count() == decontaminate.contaminated(df.limit(0), bench).count() == 0

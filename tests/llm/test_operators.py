@@ -135,13 +135,13 @@ def test_decontamination(spark, docs):
     assert got[1] == got[4] == [1] and got[7] == [] and got[2] == []
     assert {r.doc_id for r in decontaminate.clean(docs, bench).collect()} == {i for i, _, _ in ROWS} - {1, 4}
     assert decontaminate.clean(docs, bench.limit(0)).count() == len(ROWS)
-    old, decontaminate.BROADCAST_TOKENS = decontaminate.BROADCAST_TOKENS, 3
+    old, decontaminate.BROADCAST_ROWS = decontaminate.BROADCAST_ROWS, 0
     try:
         more = bench.unionByName(spark.createDataFrame([(9, "der Hund und die Katze gehen nicht")], "item_id long, text string"))
         got = {r.doc_id: [x.item_id for x in r.leaks] for r in decontaminate.contaminated(docs, more).collect()}
         assert got[1] == [1] and got[7] == [9]
     finally:
-        decontaminate.BROADCAST_TOKENS = old
+        decontaminate.BROADCAST_ROWS = old
 
 
 def test_licenses(spark, docs):
