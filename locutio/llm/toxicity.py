@@ -25,7 +25,8 @@ MIN_DOCUMENTS, WORDS = 8, 500
 #: Weight of the absolute values of a model's word weights against its mean loss, and steps of the fit.
 PENALTY, ROUNDS = 0.002, 300
 FOLDS = 3
-THRESHOLD = 0.5
+#: Probabilities from which a category may count as present; each category takes the one with the best F1 on its out-of-fold predictions.
+THRESHOLDS = [k / 20 for k in range(2, 17)]
 #: Category and its condition on the labels, in the order of the chain. The table has two labels; the third category is where they meet.
 CATEGORIES = [("low_quality", "quality = 0"), ("toxic", "toxic = 1"), ("toxic_low_quality", "toxic = 1 and quality = 0")]
 #: The category that decides.
@@ -91,6 +92,7 @@ class Linear:
             ahead, w, t = new + (t - 1) / later * (new - w), new, later
         self.words = {names[c]: float(v) for c, v in zip(chosen, w) if v}
         self.chain, self.bias = w[k:-1].tolist(), float(w[-1])
+        self.threshold = 0.5
 
     def __call__(self, words: set[str], before: list[float]) -> float:
         own = self.words
@@ -100,6 +102,12 @@ class Linear:
         return float(1 / (1 + np.exp(-min(max(z, -30), 30))))
 
 
+def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
+    """Of THRESHOLDS the one with the largest F1, ties to the one nearest to a half, then to the smaller."""
+    f1 = lambda t: 2 * float(((p >= t) & (y > 0)).sum()) / max(1.0, float((p >= t).sum() + (y > 0).sum()))
+    return min(THRESHOLDS, key=lambda t: (-f1(t), abs(t - 0.5), t))
+
+
 def fit_chain(words: pa.ListArray, labels: np.ndarray, folds: int = FOLDS) -> list[Linear]:
     """A model for each column of labels from the words of each example; an empty sample gives none."""
     if not len(words):
@@ -121,6 +129,7 @@ def fit_chain(words: pa.ListArray, labels: np.ndarray, folds: int = FOLDS) -> li
                 own = Linear([rows[i] for i in rest], names, chained[rest], y[rest])
                 out[held] = [own({names[j] for j in rows[i]}, chained[i].tolist()) for i in held]
         models.append(Linear(rows, names, chained, y))
+        models[-1].threshold = best_threshold(out, y)
         chained = np.column_stack([chained, out])
     return models
 
@@ -155,7 +164,7 @@ def _judged(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
         for model in shared.value:
             before.append(model(words, before))
         before += [0.0] * (len(names) - len(before))
-        return *before, bool(words) and before[decides] >= THRESHOLD
+        return *before, bool(words) and bool(shared.value) and before[decides] >= shared.value[decides].threshold
 
     return appended(docs, ["text"], kernel, [*((c, pa.float64(), "double") for c in names), ("flagged", pa.bool_(), "boolean")])
 
