@@ -16,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import appended, filtering, per_document, table
+from ._shared import appended, checkpointed, filtering, per_document, table
 
 #: At most so many labelled documents, those with the smallest hash of doc_id, are used for fitting.
 SAMPLE = 10_000
 #: Words of a model: of those in at least so many documents of the sample, so many with the largest chi-square.
 MIN_DOCUMENTS, WORDS = 8, 500
+#: Words that reach the driver for each category, those with the largest chi-square over the sample.
+VOCABULARY = 1500
 #: Weight of the absolute values of a model's word weights against its mean loss, and steps of the fit.
 PENALTY, ROUNDS = 0.002, 300
 FOLDS = 3
@@ -135,7 +137,9 @@ def fit_chain(words: pa.ListArray, labels: np.ndarray, folds: int = FOLDS) -> li
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> tuple[pa.ListArray, np.ndarray]:
-    """Words and category flags of at most limit labelled documents. Rows with a null label or text are no examples; of repeated doc_ids one counts."""
+    """Words and category flags of at most limit labelled documents. Rows with a null label or text are no examples; of repeated doc_ids one counts.
+
+    Only the words that may enter a model reach the driver: those of the vocabulary, which is counted and chosen on the executors."""
     flags = [F.expr(c).cast("int").alias(f"y{k}") for k, (_, c) in enumerate(CATEGORIES)]
     chosen = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     chosen = chosen.select("doc_id", *flags).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
@@ -146,10 +150,24 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) ->
             yield doc_id, sorted(words_of(text)), y
 
     schema = pa.schema([("doc_id", pa.int64()), ("words", pa.list_(pa.string())), ("y", pa.list_(pa.int32()))])
-    found = per_document(texts, kernel, schema, "doc_id long, words array<string>, y array<int>").toArrow()
-    found = found.sort_by("doc_id").combine_chunks()
-    ids = np.asarray(found["doc_id"])
-    found = found.take(pa.array(np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])))) if len(ids) else found
+    rows = per_document(texts, kernel, schema, "doc_id long, words array<string>, y array<int>")
+    rows = checkpointed(rows.groupBy("doc_id").agg(F.min(F.struct("words", "y")).alias("r")).select("doc_id", "r.words", "r.y"))
+    held = [F.sum(F.get("y", F.lit(k))) for k in range(len(CATEGORIES))]
+    n, *positive = rows.agg(F.count("*"), *held).first()
+    words = rows.select(F.explode("words").alias("word"), "y").groupBy("word").agg(F.count("*").alias("c"), *(h.alias(f"p{k}") for k, h in enumerate(held)))
+    words = checkpointed(words.where(F.col("c") >= min(MIN_DOCUMENTS, n)))
+    vocabulary: set[str] = set()
+    for k, p in enumerate(positive):
+        expected = F.col("c") * float(p or 0) / max(n, 1)
+        chi = (F.col(f"p{k}") - expected) ** 2 / F.greatest(expected * (1 - F.col("c") / max(n, 1)), F.lit(1e-9))
+        vocabulary |= {r["word"] for r in words.orderBy(F.desc(chi), "word").limit(VOCABULARY).select("word").collect()}
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def known(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for doc_id, words, y in rows:
+            yield doc_id, [w for w in words if w in shared.value], y
+
+    found = per_document(rows, known, schema, "doc_id long, words array<string>, y array<int>").toArrow().sort_by("doc_id").combine_chunks()
     words, y = found["words"].combine_chunks(), np.array(found["y"].to_pylist(), int).reshape(-1, len(CATEGORIES))
     return words if isinstance(words, pa.Array) else words.chunk(0), y
 
