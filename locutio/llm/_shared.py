@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,25 +97,62 @@ def filtering(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return run
 
 
+def joined(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """labels (an index of a row each) with the rows i and j in one class; a class has its smallest label."""
+    while len(i):
+        a, b = labels[i], labels[j]
+        apart = a != b
+        if not apart.any():
+            break
+        i, j = i[apart], j[apart]
+        np.minimum.at(labels, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while not np.array_equal(up := labels[labels], labels):
+            labels = up
+    return labels
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """(u, v) with u > v: the same components with fewer links, each block of links within a task replaced by stars around its smallest nodes."""
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def star() -> pa.RecordBatch:
+            names, at = np.unique(np.concatenate(held, 1), return_inverse=True)
+            at = at.reshape(2, -1)
+            label = joined(np.arange(len(names)), at[0], at[1])
+            own = np.flatnonzero(label != np.arange(len(names)))
+            return pa.RecordBatch.from_arrays([pa.array(names[own]), pa.array(names[label[own]])], names=["u", "v"])
+
+        for batch in batches:
+            held.append(np.array([c.to_numpy(zero_copy_only=False) for c in batch.columns], np.int64).reshape(2, -1))
+            if sum(x.shape[1] for x in held) > 500_000:
+                yield star()
+                held = []
+        if held:
+            yield star()
+
+    return edges.mapInArrow(mapped, "u long, v long")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(u, v) long pairs, any direction, repeats allowed -> (node, component), component the smallest node reachable.
 
-    Alternating large and small stars; each round is a few aggregations with map-side minima and joins that AQE can split where a centre is hot,
-    and ends in the checkpoint folder. Only two numbers a round reach the driver. Nodes without a link to another node don't appear.
+    Alternating large and small stars over links that each task has contracted before; a round is a few aggregations with map-side minima and joins that
+    AQE can split where a centre is hot, and ends in the checkpoint folder. It is over when every node has one link and no centre has another. Only
+    two numbers a round reach the driver. Nodes without a link to another node don't appear.
     """
-    e = checkpointed(edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
+    e = checkpointed(_contracted(edges.where("u is not null and v is not null and u <> v").select("u", "v")).distinct())
     while True:
+        ends = e.select(F.col("u").alias("node"), F.lit(1).alias("up")).unionByName(e.select(F.col("v").alias("node"), F.lit(0).alias("up")))
+        if not ends.groupBy("node").agg(F.sum("up").alias("up"), F.min("up").alias("least")).where("up > 1 or (up = 1 and least = 0)").limit(1).count():
+            break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         smaller = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = smaller.groupBy("u").agg(F.min("v").alias("m"))
-        joined = smaller.join(least, "u")
-        e = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        e = checkpointed(e)
-        seen = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == before:
-            break
-        before = seen
+        both = smaller.join(least, "u")
+        stars = both.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v")
+        e = checkpointed(_contracted(stars).distinct())
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import checkpointed, connected_components, filtering, per_document, table
+from ._shared import checkpointed, connected_components, filtering, joined, per_document, table
 
 SEED = 42
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -97,7 +97,7 @@ def trie_links(fps: np.ndarray, group: np.ndarray, budget: int) -> np.ndarray:
             for at in range(0, int(single.sum()), 65536):
                 i, j = alo[single][at : at + 65536], blo[single][at : at + 65536]
                 near = np.bitwise_count(words[i] ^ words[j]).sum(1, dtype=np.int64) <= budget
-                labels = _joined(labels, i[near], j[near])
+                labels = joined(labels, i[near], j[near])
             alo, ahi, blo, bhi, err = (x[~single] for x in (alo, ahi, blo, bhi, err))
         if not len(alo):
             continue
@@ -115,19 +115,6 @@ def trie_links(fps: np.ndarray, group: np.ndarray, budget: int) -> np.ndarray:
     return labels
 
 
-def _joined(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    while len(i):
-        a, b = labels[i], labels[j]
-        apart = a != b
-        if not apart.any():
-            break
-        i, j = i[apart], j[apart]
-        np.minimum.at(labels, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
-        while not np.array_equal(up := labels[labels], labels):
-            labels = up
-    return labels
-
-
 def links(classes: DataFrame, bits: int, budget: int, key_bits: int = 16) -> DataFrame:
     """(u, v) links between the doc_ids that stand for distinct fingerprints (fp, root), a spanning forest for each block value.
 
@@ -185,8 +172,10 @@ BROADCAST_IDS = 2_000_000
 NEAR_WORDS, NEAR_PART, NEAR_WHOLE = 5, 4, 5
 #: Shingles that so many documents of one batch hold come last in the order of prefixes; at most so many are told to the executors (16 bytes each).
 _COMMON, _TOLD = 8, 500_000
-#: Guesses of near copies that each document confirms before all others are sought, and how far back a guess looks in a bucket.
-_GUESSES, _BACK = 3, 1024
+#: Guesses of near copies that each document has and confirms before all others are sought, and how far back a guess looks in a bucket.
+_GUESSES, _CONFIRMS, _BACK = 4, 2, 1024
+#: Bits of the parity of a set.
+PARITY = 2048
 
 
 def _few(rows: DataFrame) -> DataFrame:
@@ -222,8 +211,8 @@ def _common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(docs: DataFrame) -> DataFrame:
-    """(doc_id, sig, n, prefix, counts, fp): the sets' sizes and first shingles, rare ones first, of which similar sets share one; shingles by their last
-    byte, or nothing where one count exceeds a byte; the 64-bit fingerprint of the set."""
+    """(doc_id, sig, n, prefix, parity, fp): the sets' sizes and first shingles, rare ones first, of which similar sets share one; for each of PARITY
+    values of a shingle's last bits, whether an odd number has it; the 64-bit fingerprint of the set."""
     shared = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs))
 
     def kernel(rows: Iterator[tuple]) -> Iterator[tuple]:
@@ -237,11 +226,11 @@ def _prefixes(docs: DataFrame) -> DataFrame:
                 at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
                 weight = np.where(keys[at] == own, counts[at], 0)
             first = np.lexsort((own, weight))[: len(own) - -(-NEAR_PART * len(own) // NEAR_WHOLE) + 1]
-            by_byte = np.bincount(own & 255, minlength=256)
-            yield doc_id, xxhash.xxh3_128_digest(own.tobytes()), len(own), own[first].tolist(), by_byte.astype(np.uint8).tobytes() if by_byte.max() < 256 else b"", fp
+            parity = np.packbits((np.bincount(own & (PARITY - 1), minlength=PARITY) & 1).astype(np.uint8)).tobytes()
+            yield doc_id, xxhash.xxh3_128_digest(own.tobytes()), len(own), own[first].tolist(), parity, fp
 
-    schema = pa.schema([("doc_id", pa.int64()), ("sig", pa.binary()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64())), ("counts", pa.binary()), ("fp", pa.int64())])
-    return per_document(docs.select("doc_id", "text"), kernel, schema, "doc_id long, sig binary, n long, prefix array<long>, counts binary, fp long")
+    schema = pa.schema([("doc_id", pa.int64()), ("sig", pa.binary()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64())), ("parity", pa.binary()), ("fp", pa.int64())])
+    return per_document(docs.select("doc_id", "text"), kernel, schema, "doc_id long, sig binary, n long, prefix array<long>, parity binary, fp long")
 
 
 def _paired(first: np.ndarray, count: np.ndarray, size: np.ndarray, at_most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -337,17 +326,19 @@ def _across(rows: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def _possible(pairs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """The (u, v) of pairs whose counts allow the similarity: sets have at most the lesser count of each byte in common. No similar pair is lost."""
-    side = lambda k, c: firsts.select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("counts").alias(c))
+    """(u, v, apart) of pairs whose parities allow the similarity: where they differ, some shingle is in one set only, so sets differ in that many
+    shingles at least. No similar pair is lost."""
+    side = lambda k, c: firsts.select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("parity").alias(c))
     both = pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "nu", "nv", "a", "b")
 
     def kernel(rows: Iterator[tuple]) -> Iterator[tuple]:
         for u, v, n, m, a, b in rows:
-            most = int(np.minimum(np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)).sum()) if a and b else min(n, m)
-            if (NEAR_WHOLE + NEAR_PART) * most >= NEAR_PART * (n + m):
-                yield u, v
+            apart = (int.from_bytes(a, "big") ^ int.from_bytes(b, "big")).bit_count()
+            if (NEAR_WHOLE + NEAR_PART) * apart <= (NEAR_WHOLE - NEAR_PART) * (n + m):
+                yield u, v, apart
 
-    return per_document(both, kernel, pa.schema([("u", pa.int64()), ("v", pa.int64())]), "u long, v long").distinct()
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("apart", pa.int64())])
+    return per_document(both, kernel, schema, "u long, v long, apart long").groupBy("u", "v").agg(F.min("apart").alias("apart"))
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -376,7 +367,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """(node, component) of the documents that have a near copy: components over every pair with five-word Jaccard similarity of 0.8 or more.
 
     Links are guessed first: the trie's links of the sets' fingerprints, and for each document the nearest fingerprints before it in the buckets of
-    prefix filtering. At most three guesses a document are confirmed on whole texts, so a group of copies costs a few links each and not all pairs.
+    prefix filtering. At most two guesses a document are confirmed on whole texts, so a group of copies costs a few links each and not all pairs.
     Prefix filtering then gives every pair that can be similar and that these links leave in different components, and these are confirmed too.
     """
     docs = docs.where("doc_id is not null")
@@ -390,10 +381,12 @@ def near_copies(docs: DataFrame) -> DataFrame:
     trie = links(fingerprints, 64, 3).select("u", "v", F.lit(3).cast("long").alias("bits"))
     guesses = found.where("v is not null").select("u", "v", "bits").unionByName(trie).where("u <> v")
     nearest = guesses.groupBy("u").agg(F.slice(F.array_sort(F.collect_set(F.struct("bits", "v"))), 1, _GUESSES).alias("g"))
-    guesses = checkpointed(_possible(nearest.select("u", F.explode("g").alias("g")).select("u", "g.v").distinct(), firsts))
+    guesses = _possible(nearest.select("u", F.explode("g").alias("g")).select("u", "g.v").distinct(), firsts)
+    nearest = guesses.groupBy("u").agg(F.slice(F.array_sort(F.collect_list(F.struct("apart", "v"))), 1, _CONFIRMS).alias("g"))
+    guesses = checkpointed(nearest.select("u", F.explode("g.v").alias("v")))
     near = checkpointed(_confirmed(guesses, docs).unionByName(equal.select(F.col("doc_id").alias("u"), F.col("root").alias("v"))))
     components = checkpointed(connected_components(near))
-    rest = checkpointed(_possible(_across(prefixes, components), firsts))
+    rest = checkpointed(_possible(_across(prefixes, components), firsts).select("u", "v"))
     more = _confirmed(rest, docs)
     return connected_components(components.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
 
