@@ -27,6 +27,8 @@ _SPAN = LENGTH - ANCHOR + 1
 PERIOD = 32
 #: Suffixes sorted at once and bytes of unit text held at once, unless one anchor has more.
 BLOCK, CHUNK = 1 << 18, 4 << 20
+#: One document in so many is looked at for hot anchors; an anchor with over LEAST, and one part in HOT, of the units seen is hot.
+SAMPLED, LEAST, HOT = 32, 16, 2000
 _TABLE = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FACTOR = 0x9E3779B97F4A7C15
 
@@ -196,7 +198,8 @@ def repeated(texts: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _unit_rows(docs: DataFrame) -> DataFrame:
-    names = ["h", "u", "doc_id", "start", "n"]
+    """(h, u, doc_id, row, start, n) of the units of each row of docs (doc_id, row, text)."""
+    names = ["h", "u", "doc_id", "row", "start", "n"]
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -206,14 +209,15 @@ def _unit_rows(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=names)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1)):
+            for doc_id, row, text in zip(*batch.columns):
                 raw = text.as_buffer().to_pybytes()
                 first, n, h = units(np.frombuffer(raw, np.uint8))
                 if not len(first):
                     continue
                 digest = xxhash.xxh3_64_intdigest
                 u = np.fromiter((digest(raw[a:b]) for a, b in zip(first.tolist(), (first + n + LENGTH - 1).tolist())), np.uint64, len(first))
-                held.append((h.view(np.int64), u.view(np.int64), np.full(len(first), doc_id.as_py(), np.int64), first.astype(np.int32), n.astype(np.int32)))
+                ids = [np.full(len(first), x.as_py(), np.int64) for x in (doc_id, row)]
+                held.append((h.view(np.int64), u.view(np.int64), *ids, first.astype(np.int32), n.astype(np.int32)))
                 size += len(first)
                 if size > 50_000:
                     yield out()
@@ -223,55 +227,101 @@ def _unit_rows(docs: DataFrame) -> DataFrame:
             yield out()
 
     rows = docs.where("doc_id is not null and text is not null").where(F.octet_length("text") >= LENGTH)
-    return rows.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(mapped, "h long, u long, doc_id long, start int, n int")
+    return rows.select("doc_id", "row", F.col("text").cast("binary").alias("text")).mapInArrow(mapped, "h long, u long, doc_id long, row long, start int, n int")
+
+
+def hot_anchors(docs: DataFrame) -> list[int]:
+    """Anchors that hold over one part in HOT of the units of a sample of documents. They are dealt in another way, so what the sample misses costs
+    time and no row; there are at most HOT of them."""
+    some = docs.where(F.pmod(F.xxhash64("doc_id", "row"), F.lit(SAMPLED)) == 0)
+    counts = checkpointed(_unit_rows(some).groupBy("h").agg(F.count("*").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return [r["h"] for r in counts.where(F.col("n") > max(LEAST, total // HOT)).collect()]
 
 
 def repeats(docs: DataFrame, packed: DataFrame) -> DataFrame:
-    """(doc_id, start, length) byte ranges, overlapping, of strings that also start in a document with a smaller doc_id. packed: (doc_id, ztext)."""
-    unit, anchor = Window.partitionBy("h", "u"), Window.partitionBy("h")
-    rows = _unit_rows(docs).repartition("h")
+    """(doc_id, row, start, length) byte ranges, overlapping, of strings that also start in a document with a smaller doc_id. docs: (doc_id, row, text),
+    packed: (doc_id, row, ztext).
+
+    Units are dealt by their anchor, those of a hot anchor by their document as well. The units of hot anchors are settled by aggregations that combine
+    before the shuffle and by joins that AQE can split, first by their names and then string by string, so no task holds all rows of an anchor.
+    """
+    hot = hot_anchors(docs)
+    is_hot = F.col("h").isin(hot) if hot else F.lit(False)
+    rows = _unit_rows(docs).withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("doc_id", "start"), F.lit(1 << 16)).cast("int")).otherwise(0)).repartition("h", "salt")
+    unit, anchor = Window.partitionBy("h", "salt", "u"), Window.partitionBy("h", "salt")
     rows = rows.withColumn("least", F.min("doc_id").over(unit))
     rows = rows.withColumn("lo", F.min("doc_id").over(anchor)).withColumn("hi", F.max("doc_id").over(anchor)).withColumn("ulo", F.min("u").over(anchor)).withColumn("uhi", F.max("u").over(anchor))
     whole = F.col("doc_id") > F.col("least")
-    shared = checkpointed(rows.where("hi > lo").where(whole | (F.col("ulo") < F.col("uhi"))).select("h", "doc_id", "start", "n", whole.alias("whole")))
-    settled = shared.where("whole").select("doc_id", "start", (F.col("n") + LENGTH - 1).alias("length"))
-    asked = shared.where("not whole").groupBy("doc_id").agg(F.collect_list("h").alias("h"), F.collect_list("start").alias("start"), F.collect_list("n").alias("n"))
+    cold = (F.col("hi") > F.col("lo")) & (whole | (F.col("ulo") < F.col("uhi")))
+    shared = checkpointed(rows.where(is_hot | cold).select("h", "u", "doc_id", "row", "start", "n", (whole & ~is_hot).alias("whole"), is_hot.alias("hot")))
+    place = ["h", "doc_id", "row", "start", "n"]
+    settled, asked = shared.where("whole").select(*place), shared.where("not whole and not hot").select(*place, F.lit(False).alias("hot"))
+    if hot:
+        own = shared.where("hot")
+        least = own.groupBy("h", "u").agg(F.min("doc_id").alias("least"))
+        own = checkpointed(own.join(least, ["h", "u"]).select(*place, (F.col("doc_id") > F.col("least")).alias("whole")))
+        settled = settled.unionByName(own.where("whole").select(*place))
+        asked = asked.unionByName(own.where("not whole").select(*place, F.lit(True).alias("hot")))
+    asked = asked.groupBy("doc_id", "row").agg(*(F.collect_list(c).alias(c) for c in ("h", "start", "n", "hot")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
-                doc_id, ztext, h, start, n = (batch.column(k)[at] for k in range(5))
-                raw = unzipped(ztext.as_py())
-                h, start, n = (np.asarray(c.values) for c in (h, start, n))
-                texts = [raw[a:b] for a, b in zip(start.tolist(), (start + n + LENGTH - 1).tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), doc_id.as_py(), np.int64)), pa.array(start), pa.array(texts, pa.binary())], names=["h", "doc_id", "start", "text"])
-
-    texts = packed.join(asked, "doc_id").select("doc_id", "ztext", "h", "start", "n").mapInArrow(cut, "h long, doc_id long, start int, text binary")
+                doc_id, row, ztext = (batch.column(k)[at].as_py() for k in range(3))
+                raw = unzipped(ztext)
+                h, start, n, hot = (batch.column(k)[at].values for k in range(3, 7))
+                a, b = np.asarray(start), np.asarray(start) + np.asarray(n) + LENGTH - 1
+                texts = [raw[x:y] for x, y in zip(a.tolist(), b.tolist())]
+                ids = [pa.array(np.full(len(h), x, np.int64)) for x in (doc_id, row)]
+                yield pa.RecordBatch.from_arrays([h, *ids, start, pa.array(texts, pa.binary()), hot], names=["h", "doc_id", "row", "start", "text", "hot"])
+
+    once = packed.dropDuplicates(["doc_id", "row"])
+    texts = once.join(asked, ["doc_id", "row"]).select("doc_id", "row", "ztext", "h", "start", "n", "hot").mapInArrow(cut, "h long, doc_id long, row long, start int, text binary, hot boolean")
+    if hot:
+        texts = checkpointed(texts)
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        size = 0
 
         def found(part: pa.Table) -> pa.RecordBatch:
-            doc, start = (np.asarray(part[c]) for c in ("doc_id", "start"))
+            doc, row, start = (np.asarray(part[c]) for c in ("doc_id", "row", "start"))
             text, place = repeated(part["text"].to_pylist(), doc)
             first = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (place[1:] != place[:-1] + 1)])) if len(text) else np.empty(0, int)
             n = np.diff(np.concatenate([first, [len(text)]])) if len(text) else first
-            return pa.RecordBatch.from_arrays([pa.array(doc[text[first]]), pa.array((start[text[first]] + place[first]).astype(np.int32)), pa.array((n + LENGTH - 1).astype(np.int32))], names=["doc_id", "start", "length"])
+            of = text[first]
+            return pa.RecordBatch.from_arrays([pa.array(doc[of]), pa.array(row[of]), pa.array((start[of] + place[first]).astype(np.int32)), pa.array((n + LENGTH - 1).astype(np.int32))], names=["doc_id", "row", "start", "length"])
 
         for batch in batches:
+            h = np.asarray(batch.column(0))
+            edge = int(np.searchsorted(h, h[-1])) if len(h) else 0
+            if size > CHUNK and len(h) and (edge or held[-1].column(0)[-1].as_py() != h[0]):
+                yield found(pa.Table.from_batches([*held, batch.slice(0, edge)]))
+                held, size, batch = [], 0, batch.slice(edge)
             held.append(batch)
-            if sum(b.nbytes for b in held) > CHUNK:
-                part = pa.Table.from_batches(held)
-                h = np.asarray(part["h"])
-                edge = int(np.searchsorted(h, h[-1]))
-                if edge:
-                    yield found(part.slice(0, edge))
-                    held = part.slice(edge).to_batches()
+            size += batch.nbytes
         if held:
             yield found(pa.Table.from_batches(held))
 
-    rest = texts.repartition("h").sortWithinPartitions("h").mapInArrow(compared, "doc_id long, start int, length int")
-    return settled.unionByName(rest)
+    rest = texts.where("not hot").drop("hot").repartition("h").sortWithinPartitions("h").mapInArrow(compared, "doc_id long, row long, start int, length int")
+    spans = settled.select("doc_id", "row", "start", (F.col("n") + LENGTH - 1).alias("length")).unionByName(rest)
+    if not hot:
+        return spans
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                _, of, place, _ = _starts(texts := part.column(2).to_pylist())
+                said = [texts[t][p : p + LENGTH] for t, p in zip(of.tolist(), place.tolist())]
+                start = np.asarray(part.column(3))[of] + place
+                yield pa.RecordBatch.from_arrays([pa.array(said, pa.binary()), *(part.column(k).take(pa.array(of)) for k in (0, 1)), pa.array(start.astype(np.int32))], names=["string", "doc_id", "row", "start"])
+
+    said = checkpointed(texts.where("hot").select("doc_id", "row", "text", "start").mapInArrow(strings, "string binary, doc_id long, row long, start int"))
+    least = said.groupBy("string").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("string", "least")
+    again = said.join(least, "string").where("doc_id > least").select("doc_id", "row", "start", F.lit(LENGTH).alias("length"))
+    return spans.unionByName(again)
 
 
 def unzipped(packed: bytes) -> bytes:
@@ -281,7 +331,7 @@ def unzipped(packed: bytes) -> bytes:
 
 
 def zipped(docs: DataFrame) -> DataFrame:
-    """(doc_id, ztext): the bytes of each text, compressed before they are shuffled; null is empty."""
+    """(doc_id, row, ztext): the bytes of each text, compressed before they are shuffled; null is empty."""
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -290,19 +340,20 @@ def zipped(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([tool.compress(t or b"") for t in part.column(1).to_pylist()], pa.binary())], names=["doc_id", "ztext"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([tool.compress(t or b"") for t in part.column(2).to_pylist()], pa.binary())], names=["doc_id", "row", "ztext"])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(mapped, "doc_id long, ztext binary")
+    return docs.select("doc_id", "row", F.col("text").cast("binary").alias("text")).mapInArrow(mapped, "doc_id long, row long, ztext binary")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept binary) of each row of docs.
 
-    Texts are UTF-8 bytes, null is empty; texts under 50 bytes have nothing to remove. A row without a doc_id is neither cut nor a source. doc_id names a
-    document: rows that repeat it repeat its text and are cut alike.
+    Texts are UTF-8 bytes, null is empty; texts under 50 bytes have nothing to remove. A row without a doc_id is neither cut nor a source. Rows that
+    repeat a doc_id are one document: each is cut by what starts in smaller doc_ids, and they don't cut each other. Other columns are not read.
     """
-    packed = zipped(docs).repartition("doc_id")
-    spans = repeats(docs, packed).groupBy("doc_id").agg(F.collect_list("start").alias("start"), F.collect_list("length").alias("length"))
+    docs = docs.select("doc_id", F.xxhash64("text").alias("row"), "text")
+    packed = zipped(docs).repartition("doc_id", "row")
+    spans = repeats(docs, packed).groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "length")).alias("spans")).select("doc_id", "row", "spans.start", "spans.length")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -327,7 +378,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                     kept.append(raw)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return packed.join(spans, "doc_id", "left").select("doc_id", "ztext", "start", "length").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return packed.join(spans, ["doc_id", "row"], "left").select("doc_id", "ztext", "start", "length").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op4_suffixes(spark, sf_dir: str) -> DataFrame:

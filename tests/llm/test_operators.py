@@ -65,12 +65,22 @@ def test_language(spark, docs):
     assert {r.lang_pred for r in language.identified(docs, docs.limit(0)).collect()} == {"und"}
 
 
-def test_suffixes_against_brute_force(spark, docs):
+@pytest.mark.parametrize("hot", ["sampled", "every", "none"])
+def test_suffixes_against_brute_force(spark, docs, hot, monkeypatch):
+    """With hot anchors as the sample finds them, with every anchor hot, and with none."""
+    if hot == "every":
+        monkeypatch.setattr(suffixes, "SAMPLED", 1), monkeypatch.setattr(suffixes, "LEAST", 0), monkeypatch.setattr(suffixes, "HOT", 1 << 40)
+    if hot == "none":
+        monkeypatch.setattr(suffixes, "LEAST", 1 << 40), monkeypatch.setattr(suffixes, "CHUNK", 1000)
     rng = np.random.default_rng(1)
     alphabet = np.frombuffer("abcdefgh é".encode()[:9], np.uint8)
     parts = [bytes(rng.choice(alphabet, rng.integers(20, 200))).decode() for _ in range(12)]
     rows = [(int(i), "".join(parts[k] for k in rng.integers(0, 12, rng.integers(1, 6)))) for i in rng.permutation(60)] + [(100, "a" * 400), (101, "a" * 300), (102, "é" * 60), (103, "é" * 60), (104, None), (105, ""), (106, "x" * 49)]
-    got = {r.doc_id: r for r in suffixes.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    twice = [(300, parts[0] + parts[1] * 3), (300, "b" + parts[0] * 2), (300, "b" + parts[0] * 2), (None, parts[0] * 3)]
+    found = suffixes.without_repeats(spark.createDataFrame([(*r, 1) for r in rows + twice], "doc_id long, text string, row int")).collect()
+    got = {r.doc_id: r for r in found}
+    assert len(found) == len(rows) + 4 and got[None].n_removed == 0
+    assert len({(r.n_bytes, r.n_removed, bytes(r.kept)) for r in found if r.doc_id == 300}) == 2
     least: dict[bytes, int] = {}
     for i, t in sorted(rows):
         raw = (t or "").encode()
