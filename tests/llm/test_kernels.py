@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 pytest.importorskip("locutio.llm")
 
-from locutio.llm import decontaminate, language, licenses, lines, neighbours, packing, simhash, suffixes, toxicity
+from locutio.llm import language, lines, neighbours, packing, simhash, suffixes, toxicity
 
 
 def components(near: np.ndarray) -> np.ndarray:
@@ -147,18 +147,6 @@ def test_language_profiles():
     assert language.Profiles([]).best("text") == ("und", 0.0)
 
 
-def test_license_templates_confirm_their_own_text_and_no_prose():
-    for name, text in licenses.TEMPLATES.items():
-        found, saving, changed, _, confirmed = licenses.judge(text)
-        assert (found, changed, confirmed) == (name, 0, True) and saving > 0
-    assert not licenses.judge("Our licence fee rose again, said the minister in the house of the people")[4]
-    found, _, changed, said, confirmed = licenses.judge("Licensed under the Apache License, Version 3.0.")
-    assert confirmed and changed == 1 and said == "-2.0 +3.0"
-    import re
-
-    text = "a\nReleased under the MIT License.\nb\n" + "x\n" * 9 + "All copyright mine\n"
-    assert [i for i, _ in licenses.blocks(text, re.compile(licenses.CANDIDATE))] == [1, 12]
-
 
 def test_chain_learns_from_out_of_fold_predictions():
     import pyarrow as pa
