@@ -6,6 +6,7 @@ document is ranked the same way and goes to the language whose profile has the s
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,7 @@ RANKS = 400
 #: Profiles go to every executor: RANKS rows a language, for at most so many languages. More raise an error.
 MAX_LANGUAGES = 1000
 _PIECE = 1 << 20
+_NO_LETTER = re.compile(r"[\W\d_]")
 _classes: dict = {}
 
 
@@ -39,8 +41,11 @@ def _letters() -> np.ndarray:
 def ngram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-grams of the words of a text, as 63-bit codes, with counts. Words are runs of letters; 1 stands for a word's edge."""
     codes, counts = [], []
-    for at in range(0, len(text or ""), _PIECE):
-        raw = np.frombuffer(text[at : at + _PIECE].encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = [0]
+    while text and ends[-1] < len(text):  # a piece ends where no letter is
+        ends.append(m.start() if (m := _NO_LETTER.search(text, ends[-1] + _PIECE)) else len(text))
+    for at, end in zip(ends, ends[1:]):
+        raw = np.frombuffer(text[at:end].encode("utf-32-le", "surrogatepass"), np.uint32)
         x = np.concatenate([[0], _letters()[raw], [0]]).astype(np.uint64)
         edge = x == 0
         x = x[~(edge & np.concatenate([[False], edge[:-1]]))]
@@ -96,7 +101,8 @@ def profiles(docs: DataFrame, ranks: int = RANKS) -> DataFrame:
     counts = docs.where("lang is not null and text is not null").select("lang", "text").mapInArrow(counted, "lang string, gram long, n long")
     total = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    return total.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < ranks).select("lang", "gram", "rank")
+    # a limit on the row number itself is applied in each task before the shuffle, so one language costs a task its first ranks only
+    return total.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= ranks).select("lang", "gram", (F.col("nth") - 1).alias("rank"))
 
 
 class Profiles:

@@ -121,14 +121,15 @@ def packed(parts: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
     sizes = keyed.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = sizes.select("length", "bucket", (F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).alias("before"))
     ranked = keyed.withColumn("nth", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1)
-    ranked = ranked.join(F.broadcast(before), ["length", "bucket"]).withColumn("rank", F.col("nth") + F.coalesce("before", F.lit(0)))
+    ranked = ranked.join(before, ["length", "bucket"]).withColumn("rank", F.col("nth") + F.coalesce("before", F.lit(0)))
     placed = ranked.join(F.broadcast(slots), ["length"]).where("rank between first and last")
     return placed.select(*parts.columns, (F.col("first_sequence") + F.col("rank") - F.col("first")).alias("sequence_id"), "offset")
 
 
 def pack(docs: DataFrame, sequence: int = SEQUENCE, name: str = TOKENIZER) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of each piece of docs. Without documents there are no pieces. The plan has at
-    most a few rows a length and the prefix sums ``sequence * BUCKETS`` rows at most, so both can go to every executor."""
+    most a few rows a length, so it can go to every executor; the prefix sums are joined where the ranks are counted. Rows that repeat a doc_id are packed
+    each, in the order of their ids' checksums; other columns are not read."""
     parts = checkpointed(pieces(docs, sequence, name).drop("ids"))
     return packed(parts, sequence)
 

@@ -67,13 +67,15 @@ def in_list(rows: DataFrame, listed: DataFrame, key: str) -> DataFrame:
     table_ = bloom_blocks(listed, key, blocks)
     if blocks * 72 <= BROADCAST_BYTES:
         table_ = F.broadcast(table_)
-    names = rows.columns
-    probed = rows.select("*", *_places(key, blocks)).join(table_, "block", "left")
-    maybe = F.coalesce(F.col(key).isNotNull() & (F.expr(" and ".join(f"(w{j} & m{j}) = m{j}" for j in range(8)))), F.lit(False))
-    passed = probed.select(*names, maybe.alias("__maybe"))
-    miss = passed.where("not __maybe").select(*names, F.lit(False).alias("listed"))
-    hit = passed.where("__maybe").select(*names).join(listed.withColumn("__in", F.lit(True)), key, "left").select(*names, F.coalesce("__in", F.lit(False)).alias("listed"))
-    return miss.unionByName(hit)
+    own = rows.select(F.struct("*").alias("row"), F.col(key).alias("key"))
+    block, *masks = _places("key", blocks)
+    # rows without a key, and below those that the filter stops, get a key of their own that meets nothing and lies anywhere
+    nowhere = F.xxhash64("row")
+    probed = own.select("row", "key", F.when(F.col("key").isNull(), F.pmod(nowhere, F.lit(blocks))).otherwise(block).alias("block"), *masks).join(table_, "block", "left")
+    maybe = F.coalesce(F.col("key").isNotNull() & F.expr(" and ".join(f"(w{j} & m{j}) = m{j}" for j in range(8))), F.lit(False))
+    passed = probed.select("row", F.when(maybe, F.concat(F.lit("="), F.col("key"))).otherwise(nowhere.cast("string")).alias("asked"))
+    told = listed.select(F.concat(F.lit("="), F.col(key)).alias("asked"), F.lit(True).alias("hit"))
+    return passed.join(told, "asked", "left").select("row.*", F.coalesce("hit", F.lit(False)).alias("listed"))
 
 
 def judged(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:

@@ -172,12 +172,19 @@ def test_chain_learns_from_out_of_fold_predictions():
     assert {"stemm**", "stemm***"} <= toxicity.words_of("stemma stemmb stemmc")
 
 
+def test_share_follows_the_rows():
+    rng = np.random.default_rng(3)
+    spread = rng.normal(size=(3000, 48))
+    clustered = rng.normal(size=(60, 48))[rng.integers(0, 60, 3000)] + 0.05 * spread
+    assert neighbours.least_share(clustered, 10) <= 0.1 < neighbours.least_share(spread, 10) and neighbours.least_share(spread[:5], 10) == 1.0
+
+
 def test_forest_finds_the_nearest():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(4000, 32))
     forest = neighbours.Forest(x)
     hits = 0
-    for i, rows in enumerate(forest.candidates(x[:40], int(neighbours.SHARE * len(x)))):
+    for i, rows in enumerate(forest.candidates(x[:40], neighbours.wanted(neighbours.least_share(x, 10), len(x)))):
         want = np.argsort(((x - x[i]) ** 2).sum(1))[:10]
         hits += len(set(want.tolist()) & set(rows.tolist()))
     assert hits >= 0.9 * 400
