@@ -41,7 +41,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def per_document(df: DataFrame, kernel: Callable[[Iterator[tuple]], Iterator[tuple]], schema: pa.Schema, ddl: str, rows: int = 2048, size: int = 8 << 20) -> DataFrame:
+def per_document(df: DataFrame, kernel: Callable[[Iterator[tuple]], Iterator[tuple]], schema: pa.Schema, ddl: str, rows: int = 1024, size: int = 4 << 20) -> DataFrame:
     """Apply kernel to the rows of df as an iterator of tuples and return its tuples as a DataFrame; one narrow pass, Arrow batches both ways.
 
     Strings arrive as they are; output batches hold at most so many rows or about so many bytes, so memory follows the longest document and not the partition.
@@ -51,15 +51,15 @@ def per_document(df: DataFrame, kernel: Callable[[Iterator[tuple]], Iterator[tup
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def tuples() -> Iterator[tuple]:
             for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    part = batch.slice(at, 256)
+                for at in range(0, batch.num_rows, 64):
+                    part = batch.slice(at, 64)
                     yield from zip(*(c.to_pylist() for c in part.columns), strict=True)
 
         held: list[tuple] = []
         weight = 0
         for row in kernel(tuples()):
             held.append(row)
-            weight += sum(len(x) for x in row if isinstance(x, (bytes, str, list))) + 16
+            weight += sum(len(x) * (40 if isinstance(x, list) else 1) for x in row if isinstance(x, (bytes, str, list))) + 16
             if len(held) >= rows or weight >= size:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*held), schema)], names=names)
                 held, weight = [], 0
@@ -126,7 +126,7 @@ def _contracted(edges: DataFrame) -> DataFrame:
 
         for batch in batches:
             held.append(np.array([c.to_numpy(zero_copy_only=False) for c in batch.columns], np.int64).reshape(2, -1))
-            if sum(x.shape[1] for x in held) > 500_000:
+            if sum(x.shape[1] for x in held) > 200_000:
                 yield star()
                 held = []
         if held:

@@ -23,7 +23,7 @@ from ._shared import checkpointed, connected_components, filtering, joined, per_
 
 SEED = 42
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_FRONTIER = 1 << 20
+_FRONTIER = 1 << 18
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -171,11 +171,11 @@ BROADCAST_IDS = 2_000_000
 #: Near copies: Jaccard similarity of the sets of five-word shingles at least 4 in 5.
 NEAR_WORDS, NEAR_PART, NEAR_WHOLE = 5, 4, 5
 #: Shingles that so many documents of one batch hold come last in the order of prefixes; at most so many are told to the executors (16 bytes each).
-_COMMON, _TOLD = 8, 500_000
+_COMMON, _TOLD = 4, 300_000
 #: Guesses of near copies that each document has and confirms before all others are sought, and how far back a guess looks in a bucket.
-_GUESSES, _CONFIRMS, _BACK = 4, 2, 1024
+_GUESSES, _CONFIRMS, _BACK = 3, 2, 1024
 #: Bits of the parity of a set.
-PARITY = 2048
+PARITY = 1024
 
 
 def _few(rows: DataFrame) -> DataFrame:
@@ -198,7 +198,7 @@ def _common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             for text in batch.column(0):
                 held.append(np.unique(shingle_hashes(text.as_py(), NEAR_WORDS)))
                 n += len(held[-1])
-                if n >= 2_000_000:
+                if n >= 500_000:
                     yield batch_of()
                     held, n = [], 0
         if held:
@@ -233,7 +233,7 @@ def _prefixes(docs: DataFrame) -> DataFrame:
     return per_document(docs.select("doc_id", "text"), kernel, schema, "doc_id long, sig binary, n long, prefix array<long>, parity binary, fp long")
 
 
-def _paired(first: np.ndarray, count: np.ndarray, size: np.ndarray, at_most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _paired(first: np.ndarray, count: np.ndarray, size: np.ndarray, at_most: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(i, j) row pairs, row i with count[i] rows from first[i] on, whose sizes and places allow the similarity. size: n * 2**32 + place."""
     n, rest = size >> 32, (size >> 32) - (size & 0xFFFFFFFF)
     rows = np.flatnonzero(count > 0)
