@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
 import uuid
@@ -41,6 +42,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within, Arrow batches of what is computed hold at most so many rows: for rows that carry whole sets."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def per_document(df: DataFrame, kernel: Callable[[Iterator[tuple]], Iterator[tuple]], schema: pa.Schema, ddl: str, rows: int = 1024, size: int = 4 << 20) -> DataFrame:
     """Apply kernel to the rows of df as an iterator of tuples and return its tuples as a DataFrame; one narrow pass, Arrow batches both ways.
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import checkpointed, connected_components, filtering, joined, per_document, table
+from ._shared import checkpointed, connected_components, filtering, joined, per_document, small_batches, table
 
 SEED = 42
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -172,10 +172,10 @@ BROADCAST_IDS = 2_000_000
 NEAR_WORDS, NEAR_PART, NEAR_WHOLE = 5, 4, 5
 #: Shingles that so many documents of one batch hold come last in the order of prefixes; at most so many are told to the executors (16 bytes each).
 _COMMON, _TOLD = 4, 300_000
-#: Guesses of near copies that each document has and confirms before all others are sought, and how far back a guess looks in a bucket.
-_GUESSES, _CONFIRMS, _BACK = 3, 2, 1024
+#: Guesses of near copies that each document confirms before all others are sought, and how far back a guess looks in a bucket.
+_GUESSES, _BACK = 3, 1024
 #: Bits of the parity of a set.
-PARITY = 1024
+PARITY = 2048
 
 
 def _few(rows: DataFrame) -> DataFrame:
@@ -367,10 +367,16 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """(node, component) of the documents that have a near copy: components over every pair with five-word Jaccard similarity of 0.8 or more.
 
     Links are guessed first: the trie's links of the sets' fingerprints, and for each document the nearest fingerprints before it in the buckets of
-    prefix filtering. At most two guesses a document are confirmed on whole texts, so a group of copies costs a few links each and not all pairs.
-    Prefix filtering then gives every pair that can be similar and that these links leave in different components, and these are confirmed too.
+    prefix filtering. At most three guesses a document are confirmed on whole texts, so a group of copies costs a few links each and not all pairs.
+    Prefix filtering then gives every pair that can be similar and that these links leave in different components, and these are confirmed too, the
+    likeliest pair of each two components before the others.
     """
     docs = docs.where("doc_id is not null")
+    with small_batches(docs.sparkSession, 1000):
+        return _near_copies(docs)
+
+
+def _near_copies(docs: DataFrame) -> DataFrame:
     prints = checkpointed(_prefixes(docs))
     classes = prints.groupBy("sig").agg(F.min("doc_id").alias("root"), F.count("*").alias("held")).where("held > 1")
     equal = checkpointed(prints.select("sig", "doc_id").join(classes, "sig").where("doc_id <> root").select("sig", "doc_id", "root").distinct())
@@ -381,14 +387,25 @@ def near_copies(docs: DataFrame) -> DataFrame:
     trie = links(fingerprints, 64, 3).select("u", "v", F.lit(3).cast("long").alias("bits"))
     guesses = found.where("v is not null").select("u", "v", "bits").unionByName(trie).where("u <> v")
     nearest = guesses.groupBy("u").agg(F.slice(F.array_sort(F.collect_set(F.struct("bits", "v"))), 1, _GUESSES).alias("g"))
-    guesses = _possible(nearest.select("u", F.explode("g").alias("g")).select("u", "g.v").distinct(), firsts)
-    nearest = guesses.groupBy("u").agg(F.slice(F.array_sort(F.collect_list(F.struct("apart", "v"))), 1, _CONFIRMS).alias("g"))
-    guesses = checkpointed(nearest.select("u", F.explode("g.v").alias("v")))
+    guesses = checkpointed(_possible(nearest.select("u", F.explode("g").alias("g")).select("u", "g.v").distinct(), firsts).select("u", "v"))
     near = checkpointed(_confirmed(guesses, docs).unionByName(equal.select(F.col("doc_id").alias("u"), F.col("root").alias("v"))))
     components = checkpointed(connected_components(near))
-    rest = checkpointed(_possible(_across(prefixes, components), firsts).select("u", "v"))
-    more = _confirmed(rest, docs)
-    return connected_components(components.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
+    rest = checkpointed(_possible(_across(prefixes, components), firsts))
+    # one link is enough between two components, so the likeliest pair of each two goes first
+    best = _apart(rest, components).groupBy("lo", "hi").agg(F.min(F.struct("apart", "u", "v")).alias("p")).select("p.u", "p.v")
+    components = checkpointed(connected_components(_with(components, _confirmed(checkpointed(best), docs))))
+    return connected_components(_with(components, _confirmed(checkpointed(_apart(rest, components).select("u", "v")), docs)))
+
+
+def _with(components: DataFrame, links: DataFrame) -> DataFrame:
+    return components.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links)
+
+
+def _apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
+    """pairs (u, v, apart) whose ends are in different components, with these as lo and hi."""
+    side = lambda k: components.select(F.col("node").alias(k), F.col("component").alias(f"c{k}"))
+    a, b = F.coalesce("cu", "u"), F.coalesce("cv", "v")
+    return pairs.join(side("u"), "u", "left").join(side("v"), "v", "left").select("u", "v", "apart", F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).where("lo <> hi")
 
 
 @filtering
