@@ -174,8 +174,6 @@ NEAR_WORDS, NEAR_PART, NEAR_WHOLE = 5, 4, 5
 _COMMON, _TOLD = 4, 300_000
 #: Guesses of near copies that each document confirms before all others are sought, and how far back a guess looks in a bucket.
 _GUESSES, _BACK = 3, 1024
-#: Bits of the parity of a set.
-PARITY = 2048
 
 
 def _few(rows: DataFrame) -> DataFrame:
@@ -210,9 +208,25 @@ def _common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], counts[order]
 
 
+def parity(own: np.ndarray) -> bytes:
+    """For each value of a shingle's last bits whether an odd number of the set has it: two to four bits a shingle, 64 at least, a power of two."""
+    bits = max(64, 1 << ((4 * len(own)).bit_length() - 1))
+    return np.packbits((np.bincount(own & (bits - 1), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def least_apart(a: bytes, b: bytes) -> int:
+    """How many shingles are in one of two sets only, at least: the places where their parities differ, the longer one folded to the other's length."""
+    x, y = sorted((a, b), key=len)
+    u, v, bits = int.from_bytes(x, "big"), int.from_bytes(y, "big"), 8 * len(y)
+    while bits > 8 * len(x):
+        bits //= 2
+        v = (v >> bits) ^ (v & ((1 << bits) - 1))
+    return (u ^ v).bit_count()
+
+
 def _prefixes(docs: DataFrame) -> DataFrame:
-    """(doc_id, sig, n, prefix, parity, fp): the sets' sizes and first shingles, rare ones first, of which similar sets share one; for each of PARITY
-    values of a shingle's last bits, whether an odd number has it; the 64-bit fingerprint of the set."""
+    """(doc_id, sig, n, prefix, parity, fp): the sets' sizes and first shingles, rare ones first, of which similar sets share one; their parity and
+    64-bit fingerprint."""
     shared = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs))
 
     def kernel(rows: Iterator[tuple]) -> Iterator[tuple]:
@@ -226,8 +240,7 @@ def _prefixes(docs: DataFrame) -> DataFrame:
                 at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
                 weight = np.where(keys[at] == own, counts[at], 0)
             first = np.lexsort((own, weight))[: len(own) - -(-NEAR_PART * len(own) // NEAR_WHOLE) + 1]
-            parity = np.packbits((np.bincount(own & (PARITY - 1), minlength=PARITY) & 1).astype(np.uint8)).tobytes()
-            yield doc_id, xxhash.xxh3_128_digest(own.tobytes()), len(own), own[first].tolist(), parity, fp
+            yield doc_id, xxhash.xxh3_128_digest(own.tobytes()), len(own), own[first].tolist(), parity(own), fp
 
     schema = pa.schema([("doc_id", pa.int64()), ("sig", pa.binary()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64())), ("parity", pa.binary()), ("fp", pa.int64())])
     return per_document(docs.select("doc_id", "text"), kernel, schema, "doc_id long, sig binary, n long, prefix array<long>, parity binary, fp long")
@@ -333,7 +346,7 @@ def _possible(pairs: DataFrame, firsts: DataFrame) -> DataFrame:
 
     def kernel(rows: Iterator[tuple]) -> Iterator[tuple]:
         for u, v, n, m, a, b in rows:
-            apart = (int.from_bytes(a, "big") ^ int.from_bytes(b, "big")).bit_count()
+            apart = least_apart(a, b)
             if (NEAR_WHOLE + NEAR_PART) * apart <= (NEAR_WHOLE - NEAR_PART) * (n + m):
                 yield u, v, apart
 

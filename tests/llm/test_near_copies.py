@@ -36,3 +36,14 @@ def test_near_dedup_is_exact(spark):
     want = {known[k][0] for k in range(len(known)) if group[k] == k}
     kept = [r.doc_id for r in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert {k for k in kept if k} == want and None in kept and near > 50 and len(want) > 60
+
+
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        common = rng.integers(-(2**62), 2**62, int(rng.integers(0, 3000)))
+        a, b = (np.unique(np.concatenate([common, rng.integers(-(2**62), 2**62, int(rng.integers(0, 300)))])) for _ in range(2))
+        apart = len(np.setxor1d(a, b))
+        assert simhash.least_apart(simhash.parity(a), simhash.parity(b)) <= apart and simhash.least_apart(simhash.parity(a), simhash.parity(a)) == 0
+    wide = [np.unique(rng.integers(-(2**62), 2**62, 20_000)) for _ in range(2)]
+    assert 9 * simhash.least_apart(*map(simhash.parity, wide)) > 40_000
