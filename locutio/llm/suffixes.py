@@ -239,16 +239,16 @@ def hot_anchors(docs: DataFrame) -> list[int]:
     return [r["h"] for r in counts.where(F.col("n") > max(LEAST, total // HOT)).collect()]
 
 
-def repeats(docs: DataFrame, packed: DataFrame) -> DataFrame:
+def repeats(docs: DataFrame, packed: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """(doc_id, row, start, length) byte ranges, overlapping, of strings that also start in a document with a smaller doc_id. docs: (doc_id, row, text),
-    packed: (doc_id, row, ztext).
+    packed: (doc_id, row, ztext). And (doc_id, row, at) with the units (start, n) of hot anchors that repeat whole, if there are hot anchors.
 
     Units are dealt by their anchor, those of a hot anchor by their document as well. The units of hot anchors are settled by aggregations that combine
     before the shuffle and by joins that AQE can split, first by their names and then string by string, so no task holds all rows of an anchor.
     """
     hot = hot_anchors(docs)
     is_hot = F.col("h").isin(hot) if hot else F.lit(False)
-    rows = _unit_rows(docs).withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("doc_id", "start"), F.lit(1 << 16)).cast("int")).otherwise(0)).repartition("h", "salt")
+    rows = _unit_rows(docs).withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("doc_id", "row"), F.lit(1 << 16)).cast("int")).otherwise(0)).repartition("h", "salt")
     unit, anchor = Window.partitionBy("h", "salt", "u"), Window.partitionBy("h", "salt")
     rows = rows.withColumn("least", F.min("doc_id").over(unit))
     rows = rows.withColumn("lo", F.min("doc_id").over(anchor)).withColumn("hi", F.max("doc_id").over(anchor)).withColumn("ulo", F.min("u").over(anchor)).withColumn("uhi", F.max("u").over(anchor))
@@ -258,11 +258,12 @@ def repeats(docs: DataFrame, packed: DataFrame) -> DataFrame:
     place = ["h", "doc_id", "row", "start", "n"]
     settled, asked = shared.where("whole").select(*place), shared.where("not whole and not hot").select(*place, F.lit(False).alias("hot"))
     if hot:
-        own = shared.where("hot")
-        least = own.groupBy("h", "u").agg(F.min("doc_id").alias("least"))
-        own = checkpointed(own.join(least, ["h", "u"]).select(*place, (F.col("doc_id") > F.col("least")).alias("whole")))
-        settled = settled.unionByName(own.where("whole").select(*place))
-        asked = asked.unionByName(own.where("not whole").select(*place, F.lit(True).alias("hot")))
+        # a document's places of one unit stay together, and the least documents are stored, so that the join is one of two plain shuffles
+        own = checkpointed(shared.where("hot").groupBy("h", "u", "doc_id", "row").agg(F.collect_list(F.struct("start", "n")).alias("at")))
+        least = checkpointed(own.groupBy("h", "u").agg(F.min("doc_id").alias("least")))
+        own = checkpointed(own.join(least, ["h", "u"]).select("h", "doc_id", "row", "at", (F.col("doc_id") > F.col("least")).alias("whole")))
+        hot_spans = own.where("whole").groupBy("doc_id", "row").agg(F.flatten(F.collect_list("at")).alias("at"))
+        asked = asked.unionByName(own.where("not whole").select("h", "doc_id", "row", F.inline("at")).select(*place, F.lit(True).alias("hot")))
     asked = asked.groupBy("doc_id", "row").agg(*(F.collect_list(c).alias(c) for c in ("h", "start", "n", "hot")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,7 +308,7 @@ def repeats(docs: DataFrame, packed: DataFrame) -> DataFrame:
     rest = texts.where("not hot").drop("hot").repartition("h").sortWithinPartitions("h").mapInArrow(compared, "doc_id long, row long, start int, length int")
     spans = settled.select("doc_id", "row", "start", (F.col("n") + LENGTH - 1).alias("length")).unionByName(rest)
     if not hot:
-        return spans
+        return spans, None
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -319,9 +320,9 @@ def repeats(docs: DataFrame, packed: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(said, pa.binary()), *(part.column(k).take(pa.array(of)) for k in (0, 1)), pa.array(start.astype(np.int32))], names=["string", "doc_id", "row", "start"])
 
     said = checkpointed(texts.where("hot").select("doc_id", "row", "text", "start").mapInArrow(strings, "string binary, doc_id long, row long, start int"))
-    least = said.groupBy("string").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("string", "least")
+    least = checkpointed(said.groupBy("string").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("string", "least"))
     again = said.join(least, "string").where("doc_id > least").select("doc_id", "row", "start", F.lit(LENGTH).alias("length"))
-    return spans.unionByName(again)
+    return spans.unionByName(again), hot_spans
 
 
 def unzipped(packed: bytes) -> bytes:
@@ -353,7 +354,15 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select("doc_id", F.xxhash64("text").alias("row"), "text")
     packed = zipped(docs).repartition("doc_id", "row")
-    spans = repeats(docs, packed).groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "length")).alias("spans")).select("doc_id", "row", "spans.start", "spans.length")
+    spans, hot_spans = repeats(docs, packed)
+    spans = spans.groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "length")).alias("spans")).select("doc_id", "row", "spans.start", "spans.length")
+    found = packed.join(spans, ["doc_id", "row"], "left")
+    if hot_spans is not None:
+        none = F.array().cast("array<int>")
+        found = found.join(hot_spans, ["doc_id", "row"], "left").select(
+            "doc_id", "ztext", F.concat(F.coalesce("start", none), F.coalesce("at.start", none)).alias("start"), F.concat(F.coalesce("length", none), F.coalesce(F.transform("at.n", lambda n: n + (LENGTH - 1)), none)).alias("length")
+        )
+
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -378,7 +387,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                     kept.append(raw)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return packed.join(spans, ["doc_id", "row"], "left").select("doc_id", "ztext", "start", "length").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return found.select("doc_id", "ztext", "start", "length").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op4_suffixes(spark, sf_dir: str) -> DataFrame:
