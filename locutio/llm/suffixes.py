@@ -27,8 +27,9 @@ _SPAN = LENGTH - ANCHOR + 1
 PERIOD = 32
 #: Suffixes sorted at once and bytes of unit text held at once, unless one anchor has more.
 BLOCK, CHUNK = 1 << 18, 4 << 20
-#: One document in so many is looked at for hot anchors; an anchor with over LEAST, and one part in HOT, of the units seen is hot.
+#: One document in so many is looked at for hot anchors; an anchor with over LEAST, and one part in HOT, of the units seen is hot and dealt to PARTS groups.
 SAMPLED, LEAST, HOT = 32, 16, 2000
+PARTS = 128
 _TABLE = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FACTOR = 0x9E3779B97F4A7C15
 
@@ -243,23 +244,24 @@ def repeats(docs: DataFrame, packed: DataFrame) -> tuple[DataFrame, DataFrame |
     """(doc_id, row, start, length) byte ranges, overlapping, of strings that also start in a document with a smaller doc_id. docs: (doc_id, row, text),
     packed: (doc_id, row, ztext). And (doc_id, row, at) with the units (start, n) of hot anchors that repeat whole, if there are hot anchors.
 
-    Units are dealt by their anchor, those of a hot anchor by their document as well. The units of hot anchors are settled by aggregations that combine
-    before the shuffle and by joins that AQE can split, first by their names and then string by string, so no task holds all rows of an anchor.
+    Units are dealt by their anchor, those of a hot anchor by one of PARTS groups of documents as well, so no task holds all rows of an anchor. A unit that
+    a smaller document of its group has is settled there; only the least document of each group, at most PARTS for a unit, meets the least of all groups in
+    a join. What is left of hot anchors is compared string by string, by an aggregation that combines before the shuffle and a join that AQE can split.
     """
     hot = hot_anchors(docs)
     is_hot = F.col("h").isin(hot) if hot else F.lit(False)
-    rows = _unit_rows(docs).withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("doc_id", "row"), F.lit(1 << 16)).cast("int")).otherwise(0)).repartition("h", "salt")
+    rows = _unit_rows(docs).withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("doc_id", "row"), F.lit(PARTS)).cast("int")).otherwise(0)).repartition("h", "salt")
     unit, anchor = Window.partitionBy("h", "salt", "u"), Window.partitionBy("h", "salt")
     rows = rows.withColumn("least", F.min("doc_id").over(unit))
     rows = rows.withColumn("lo", F.min("doc_id").over(anchor)).withColumn("hi", F.max("doc_id").over(anchor)).withColumn("ulo", F.min("u").over(anchor)).withColumn("uhi", F.max("u").over(anchor))
     whole = F.col("doc_id") > F.col("least")
     cold = (F.col("hi") > F.col("lo")) & (whole | (F.col("ulo") < F.col("uhi")))
-    shared = checkpointed(rows.where(is_hot | cold).select("h", "u", "doc_id", "row", "start", "n", (whole & ~is_hot).alias("whole"), is_hot.alias("hot")))
+    shared = checkpointed(rows.where(is_hot | cold).select("h", "u", "doc_id", "row", "start", "n", whole.alias("whole"), is_hot.alias("hot")))
     place = ["h", "doc_id", "row", "start", "n"]
     settled, asked = shared.where("whole").select(*place), shared.where("not whole and not hot").select(*place, F.lit(False).alias("hot"))
     if hot:
-        # a document's places of one unit stay together, and the least documents are stored, so that the join is one of two plain shuffles
-        own = checkpointed(shared.where("hot").groupBy("h", "u", "doc_id", "row").agg(F.collect_list(F.struct("start", "n")).alias("at")))
+        # the least document of a unit is the least of its group; a document's places of one unit stay together
+        own = checkpointed(shared.where("hot and not whole").groupBy("h", "u", "doc_id", "row").agg(F.collect_list(F.struct("start", "n")).alias("at")))
         least = checkpointed(own.groupBy("h", "u").agg(F.min("doc_id").alias("least")))
         own = checkpointed(own.join(least, ["h", "u"]).select("h", "doc_id", "row", "at", (F.col("doc_id") > F.col("least")).alias("whole")))
         hot_spans = own.where("whole").groupBy("doc_id", "row").agg(F.flatten(F.collect_list("at")).alias("at"))

@@ -69,7 +69,7 @@ def test_language(spark, docs):
 def test_suffixes_against_brute_force(spark, docs, hot, monkeypatch):
     """With hot anchors as the sample finds them, with every anchor hot, and with none."""
     if hot == "every":
-        monkeypatch.setattr(suffixes, "SAMPLED", 1), monkeypatch.setattr(suffixes, "LEAST", 0), monkeypatch.setattr(suffixes, "HOT", 1 << 40)
+        monkeypatch.setattr(suffixes, "SAMPLED", 1), monkeypatch.setattr(suffixes, "LEAST", 0), monkeypatch.setattr(suffixes, "HOT", 1 << 40), monkeypatch.setattr(suffixes, "PARTS", 3)
     if hot == "none":
         monkeypatch.setattr(suffixes, "LEAST", 1 << 40), monkeypatch.setattr(suffixes, "CHUNK", 1000)
     rng = np.random.default_rng(1)
