@@ -32,7 +32,7 @@ def main(argv: list[str] | None = None) -> int:
         return int(e.code or 0)
     from pyspark.sql import SparkSession
 
-    from .criteria.registry import catalog
+    from .criteria.registry import catalog, criterion
     from .operators.evaluate import Replay
     from .plans.run import Options, read_cache, run
     from .sources.subtitles import read_files
@@ -46,6 +46,8 @@ def main(argv: list[str] | None = None) -> int:
         return 2
     try:
         options = Options(a.criterio, a.modelo, a.umbral, a.reintentos, a.concurrencia, a.idioma, not (a.sin_prefiltro or a.accion == "medir-prefiltro"), a.limite)
+        criterion(a.criterio)
+        options.write_cache = not a.sin_cache
         options.cache = None if a.sin_cache else read_cache(spark, a.salida, a.criterio)
     except (ValueError, KeyError) as e:
         print(e, file=sys.stderr)

@@ -13,6 +13,20 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def running(values: Column, zero: Column, kind: str) -> Column:
+    """Sum of what comes before each value, added from the left. Sums are kept once every 256 values, so a long array isn't copied at each step."""
+    add = lambda s, x: s + x
+
+    def sums(own: Column) -> Column:
+        blocks = F.when(F.size(own) > 0, F.sequence(F.lit(0), F.shiftright(F.size(own) - 1, 8))).otherwise(F.array().cast("array<int>"))
+        start = F.struct(F.array().cast(f"array<{kind}>").alias("out"), zero.alias("at"))
+        step = lambda acc, b: F.struct(F.array_append(acc.out, acc.at).alias("out"), F.aggregate(F.slice(own, b * 256 + 1, 256), acc.at, add).alias("at"))
+        within = lambda bases: F.transform(own, lambda _, i: F.aggregate(F.slice(own, F.shiftright(i, 8) * 256 + 1, i.bitwiseAND(255)), F.get(bases, F.shiftright(i, 8)), add))
+        return let(F.aggregate(blocks, start, step, lambda acc: acc.out), within)
+
+    return let(values, sums)
+
+
 def _folding() -> tuple[str, str]:
     """Lower-case letters of the Latin, Greek and Cyrillic blocks that canonical decomposition turns into one base letter and marks."""
     source, target = [], []

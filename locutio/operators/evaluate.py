@@ -7,6 +7,7 @@ whole DataFrames: the first sends the prompt, later ones a correction to what fa
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -22,6 +23,9 @@ ANSWER = "clave string, texto string, fallo string, ms double, ms_carga double,
 RETRIES, THRESHOLD, CACHE_VERSION = 2, 0.7, 2
 OMITTED = "no contiene ningun marcador lexico del criterio (prefiltro)"
 NO_JSON = "el modelo no devolvio un JSON valido"
+NO_ANSWER = "sin respuesta"
+#: Fixed value: seconds to wait after a call that failed.
+PAUSE = 0.4
 
 
 class Backend(Protocol):
@@ -77,6 +81,7 @@ class External:
                         rows.append((key, r["texto"], None, r.get("ms", 0.0), r.get("ms_carga", 0.0), r.get("ms_generacion", 0.0), r.get("tokens", 0)))
                     except Exception as e:  # noqa: BLE001  a failed call is a result
                         rows.append((key, None, str(e), 0.0, 0.0, 0.0, 0))
+                        time.sleep(PAUSE)
                 yield pd.DataFrame(rows, columns=["clave", "texto", "fallo", "ms", "ms_carga", "ms_generacion", "tokens"])
 
         return asked.select("clave", "sistema", "prompt").repartition(self.concurrency, "clave").mapInPandas(ask, ANSWER)
@@ -89,17 +94,20 @@ def keyed(claims: DataFrame, criterion: Criterion, model: str) -> DataFrame:
 def evaluated(claims: DataFrame, criterion: Criterion, backend: Backend, model: str = "qwen2.5:3b", retries: int = RETRIES, cache: DataFrame | None = None) -> DataFrame:
     """claims plus evaluada, desde_cache, evaluacion, ajustes, error, motivo_omision, intentos, ms_llm, ms_carga, ms_generacion and tokens.
 
-    cache holds (clave, evaluacion) and may be None, which reads and writes nothing. A cached verdict counts no attempt.
+    cache holds (clave, evaluacion) and may be None, which reads nothing. A cached verdict counts no attempt. Claims that the gate left out take no part in
+    the joins. A key for which the backend returns no row has failed in that attempt.
     """
     rows = keyed(claims, criterion, model)
-    selected = rows.where("preseleccionada")
+    picked = F.coalesce("preseleccionada", F.lit(False))
+    omitted, selected = rows.where(~picked), rows.where(picked)
     if cache is not None:
         hit = cache.select("clave", F.col("evaluacion").alias("_cached")).dropDuplicates(["clave"])
-        rows = rows.join(hit, "clave", "left")
-        selected = selected.join(hit, "clave", "left_anti")
+        selected = selected.join(hit, "clave", "left")
     else:
-        rows = rows.withColumn("_cached", F.lit(None).cast(VERDICT))
-    open_ = selected.groupBy("clave").agg(F.min_by("texto", "id").alias("texto"), F.min_by("idioma_nombre", "id").alias("idioma_nombre"))
+        selected = selected.withColumn("_cached", F.lit(None).cast(VERDICT))
+    # ids repeat across documents, and equal texts may differ in language: the first document's is asked
+    first = F.struct(*(c for c in ("doc_id", "id") if c in claims.columns), F.coalesce("idioma_nombre", F.lit("")))
+    open_ = selected.where("_cached is null").groupBy("clave").agg(F.min_by("texto", first).alias("texto"), F.min_by("idioma_nombre", first).alias("idioma_nombre"))
     open_ = open_.withColumn("problema", F.lit(None).cast("string"))
     zero = {"ms": F.lit(0.0), "ms_carga": F.lit(0.0), "ms_generacion": F.lit(0.0), "tokens": F.lit(0).cast("bigint"), "llamadas": F.lit(0).cast("bigint")}
     open_ = open_.select("*", *(v.alias(f"_{k}") for k, v in zero.items()))
@@ -109,7 +117,8 @@ def evaluated(claims: DataFrame, criterion: Criterion, backend: Backend, model:
         prompt = criterion.prompt(text, lang) if attempt == 1 else criterion.correction(text, lang, F.col("problema"))
         asked = open_.select("clave", F.lit(criterion.system_prompt).alias("sistema"), prompt.alias("prompt"))
         got = backend.answers(asked, attempt).withColumnRenamed("texto", "_answer")
-        tried = open_.join(got, "clave")
+        tried = open_.join(got.withColumn("_got", F.lit(True)), "clave", "left")
+        tried = tried.withColumn("fallo", F.coalesce("fallo", F.when(F.col("_got").isNull(), NO_ANSWER))).drop("_got")
         for k in ("ms", "ms_carga", "ms_generacion", "tokens"):
             tried = tried.withColumn(f"_{k}", F.col(f"_{k}") + F.coalesce(k, F.lit(0)))
         tried = tried.withColumn("_llamadas", F.col("_llamadas") + F.col("fallo").isNull().cast("bigint"))
@@ -121,7 +130,7 @@ def evaluated(claims: DataFrame, criterion: Criterion, backend: Backend, model:
         over = tried if attempt == retries + 1 else tried.where(ok)
         done = over if done is None else done.unionByName(over)
         open_ = tried.where(~ok).drop("_v", "_n")
-    out = rows.join(done.drop("texto", "idioma_nombre"), "clave", "left")
+    out = selected.join(done.drop("texto", "idioma_nombre"), "clave", "left").unionByName(omitted, allowMissingColumns=True)
     cached = F.col("preseleccionada") & F.col("_cached").isNotNull()
     good = F.col("preseleccionada") & F.coalesce(F.col("_v.ok"), F.lit(False))
     asked = F.col("preseleccionada") & ~cached

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.languages import candidates, detected, language_name, segment_language
-from ..functions.text import claim_id, fixed, let, punctuation_density, squeeze
+from ..functions.text import claim_id, fixed, let, punctuation_density, running, squeeze
 from .lexicon import Gate, gated
 
 # Lengths of claims, pause and density.
@@ -48,14 +48,24 @@ def _is_unpunctuated(text: Column) -> Column:
 def anchors(cues: Column) -> Column:
     """(desde, hasta, inicio, fin) of each cue with text in the joined text, blanks squeezed."""
     kept = F.filter(F.transform(cues, lambda c: F.struct(F.length(squeeze(c.texto)).alias("n"), c.inicio.alias("inicio"), F.greatest(c.fin, c.inicio).alias("fin"))), lambda c: c.n > 0)
-    kind = "array<struct<desde:int,hasta:int,inicio:double,fin:double>>"
-    start = F.struct(F.array().cast(kind).alias("out"), F.lit(0).alias("at"))
 
-    def step(acc: Column, c: Column) -> Column:
-        one = F.struct(acc.at.alias("desde"), (acc.at + c.n).alias("hasta"), c.inicio.alias("inicio"), c.fin.alias("fin"))
-        return F.struct(F.array_append(acc.out, one).alias("out"), (acc.at + c.n + 1).alias("at"))
+    def placed(own: Column) -> Column:
+        one = lambda at: F.transform(own, lambda c, i: F.struct(F.get(at, i).alias("desde"), (F.get(at, i) + c.n).alias("hasta"), c.inicio.alias("inicio"), c.fin.alias("fin")))
+        return let(running(F.transform(own, lambda c: c.n + 1), F.lit(0), "int"), one)
 
-    return F.aggregate(kept, start, step, lambda acc: acc.out)
+    return let(kept, placed)
+
+
+def _first_beyond(offset: Column, marks: Column) -> Column:
+    """Index of the first mark that ends beyond offset, by halving."""
+    halvings = F.sequence(F.lit(0), F.ceil(F.log2(F.size(marks) + 1)).cast("int"))
+
+    def step(acc: Column, _: Column) -> Column:
+        mid = F.shiftright(acc.lo + acc.hi, 1)
+        left = offset < F.get(marks, mid).hasta
+        return F.when(acc.lo >= acc.hi, acc).otherwise(F.struct(F.when(left, acc.lo).otherwise(mid + 1).alias("lo"), F.when(left, mid).otherwise(acc.hi).alias("hi")))
+
+    return F.aggregate(halvings, F.struct(F.lit(0).alias("lo"), F.size(marks).alias("hi")), step, lambda acc: acc.lo)
 
 
 def time_at(offset: Column, marks: Column) -> Column:
@@ -68,7 +78,7 @@ def time_at(offset: Column, marks: Column) -> Column:
             share = (offset - own.desde) / F.greatest(F.lit(1), own.hasta - own.desde)
             return F.when(offset < own.desde, own.inicio).otherwise(own.inicio + share * (own.fin - own.inicio))
 
-        own = F.get(F.filter(marks, lambda a: offset < a.hasta), F.lit(0))
+        own = F.get(marks, _first_beyond(offset, marks))
         return F.when(F.size(marks) == 0, F.lit(0.0)).when(offset <= first.desde, first.inicio).when(offset >= last.hasta, last.fin).otherwise(let(own, within))
 
     return let(offset, at)
@@ -76,13 +86,12 @@ def time_at(offset: Column, marks: Column) -> Column:
 
 def _with_offsets(parts: Column) -> Column:
     """(desde, hasta, texto) of consecutive parts (texto, n) that make up the whole; hasta is n characters on."""
-    start = F.struct(F.array().cast("array<struct<desde:int,hasta:int,texto:string>>").alias("out"), F.lit(0).alias("at"))
 
-    def step(acc: Column, p: Column) -> Column:
-        one = F.struct(acc.at.alias("desde"), (acc.at + p.n).alias("hasta"), p.texto.alias("texto"))
-        return F.struct(F.array_append(acc.out, one).alias("out"), (acc.at + F.length(p.texto)).alias("at"))
+    def placed(own: Column) -> Column:
+        one = lambda at: F.transform(own, lambda p, i: F.struct(F.get(at, i).alias("desde"), (F.get(at, i) + p.n).alias("hasta"), p.texto.alias("texto")))
+        return let(running(F.transform(own, lambda p: F.length(p.texto)), F.lit(0), "int"), one)
 
-    return F.aggregate(parts, start, step, lambda acc: acc.out)
+    return let(parts, placed)
 
 
 def sentences(text: Column) -> Column:

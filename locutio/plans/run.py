@@ -11,6 +11,7 @@ from ..criteria.base import Criterion
 from ..criteria.registry import DEFAULT, criterion
 from ..operators import evaluate, metrics, segment
 from ..operators.evaluate import Backend
+from ..operators.stored import stored
 from ..sources.subtitles import transcripts
 
 SCHEMA_VERSION = 1
@@ -22,11 +23,12 @@ class Options:
     model: str = "qwen2.5:3b"
     threshold: float = evaluate.THRESHOLD
     retries: int = evaluate.RETRIES
-    concurrency: int = 1
+    concurrency: int | None = None
     lang: str | None = None
     use_gate: bool = True
     limit: int | None = None
     cache: DataFrame | None = None
+    write_cache: bool = True
     extra: dict = field(default_factory=dict)
 
     def __post_init__(self) -> None:
@@ -34,7 +36,7 @@ class Options:
             (0 <= self.threshold <= 1, "umbral debe estar entre 0 y 1"),
             (self.limit is None or self.limit >= 1, "limite debe ser 1 o mas"),
             (self.retries >= 0, "reintentos debe ser 0 o mas"),
-            (1 <= self.concurrency <= 16, "concurrencia debe estar entre 1 y 16"),
+            (self.concurrency is None or 1 <= self.concurrency <= 16, "concurrencia debe estar entre 1 y 16"),
         ):
             if not ok:
                 raise ValueError(said)
@@ -48,6 +50,7 @@ class Run:
     summary: DataFrame
     criterion: Criterion
     threshold: float
+    write_cache: bool = True
 
     def recall(self) -> DataFrame:
         """Recall of the gate; only an ungated run tells it."""
@@ -56,13 +59,22 @@ class Run:
         return out.withColumn("veredicto", metrics.recall_verdict(F.col("recall")))
 
     def write(self, path: str) -> None:
-        """Tables transcripts, claims, results, summary and cache under path, the last four partitioned by criterion."""
+        """Tables transcripts, claims, results, summary and cache under path, the last four partitioned by criterion.
+
+        The tables hold the last run of each criterion, so a run that is repeated leaves what it left before. The cache grows by the keys it lacks, unless
+        the run was told not to write it.
+        """
         stamp = {"criterio": self.criterion.id, "hash_prompt": self.criterion.prompt_hash, "version_esquema": SCHEMA_VERSION, "version_validador": self.criterion.validator_version}
         self.transcripts.write.mode("overwrite").parquet(f"{path}/transcripts")
         for name in ("claims", "results", "summary"):
             df = getattr(self, name).withColumns({k: F.lit(v) for k, v in stamp.items()})
-            df.write.mode("append").partitionBy("criterio").parquet(f"{path}/{name}")
-        evaluate.new_cache_rows(self.results).withColumn("criterio", F.lit(self.criterion.id)).write.mode("append").partitionBy("criterio").parquet(f"{path}/cache")
+            df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("criterio").parquet(f"{path}/{name}")
+        if not self.write_cache:
+            return
+        fresh = evaluate.new_cache_rows(self.results)
+        if (before := read_cache(fresh.sparkSession, path, self.criterion.id)) is not None:
+            fresh = fresh.join(before.select("clave"), "clave", "left_anti")
+        fresh.withColumn("criterio", F.lit(self.criterion.id)).write.mode("append").partitionBy("criterio").parquet(f"{path}/cache")
 
 
 def read_cache(spark: SparkSession, path: str, criterion_id: str) -> DataFrame | None:
@@ -81,9 +93,12 @@ def run(files: DataFrame, backend: Backend, options: Options | None = None) -> R
     o = options or Options()
     c = criterion(o.criterion)
     parsed = transcripts(files)
-    claims = segment.claims(parsed.select("doc_id", "segmentos"), c.gate, o.lang, o.use_gate, o.limit)
+    # every round and every table reads the claims, so they are made once
+    claims = stored(segment.claims(parsed.select("doc_id", "segmentos"), c.gate, o.lang, o.use_gate, o.limit))
+    if o.concurrency is not None and isinstance(backend, evaluate.External):
+        backend = evaluate.External(backend.make, o.concurrency)
     results = evaluate.evaluated(claims, c, backend, o.model, o.retries, o.cache)
-    return Run(parsed, claims, results, metrics.summary(results, ["doc_id"], o.threshold), c, o.threshold)
+    return Run(parsed, claims, results, metrics.summary(results, ["doc_id"], o.threshold), c, o.threshold, o.write_cache)
 
 
 def transcript_facts(parsed: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import bare_word, clean_line, let, seconds, squeeze, trimmed, word_count, words
+from ..functions.text import bare_word, clean_line, let, running, seconds, squeeze, trimmed, word_count, words
 
 CUES = "array<struct<inicio:double,fin:double,texto:string>>"
 # Thresholds of the overlap repair and of estimated times.
@@ -150,13 +150,12 @@ def plain_cues(content: Column) -> Column:
     """Paragraphs with times estimated from the number of words."""
     text = F.replace(content, F.lit("\r\n"), F.lit("\n"))
     parts = F.filter(F.transform(F.split(text, "\n{2,}"), squeeze), lambda p: p != "")
-    start = F.struct(F.array().cast(CUES).alias("out"), F.lit(0.0).alias("now"))
 
-    def step(acc: Column, p: Column) -> Column:
-        more = lambda end: F.struct(F.array_append(acc.out, F.struct(acc.now.alias("inicio"), end.alias("fin"), p.alias("texto"))).alias("out"), end.alias("now"))
-        return let(acc.now + _duration(p), more)
+    def timed(own: Column) -> Column:
+        one = lambda now: F.transform(own, lambda p, i: F.struct(F.get(now, i).alias("inicio"), (F.get(now, i) + _duration(p)).alias("fin"), p.alias("texto")))
+        return let(running(F.transform(own, _duration), F.lit(0.0), "double"), one)
 
-    return F.aggregate(parts, start, step, lambda acc: acc.out)
+    return let(parts, timed)
 
 
 def marked_cues(content: Column) -> Column:

@@ -21,18 +21,21 @@ def gated_stream(cues: DataFrame, gate: Gate) -> DataFrame:
 
 def pause_blocks_stream(cues: DataFrame, pause: float = MIN_PAUSE, timeout: str = "10 minutes") -> DataFrame:
     """(doc_id, bloque, inicio, fin, texto) of each run of cues (doc_id, inicio, fin, texto, ts) without a pause, as soon as the next begins or the
-    watermark on ts passes the timeout. The pause lies between one cue's end and the next one's start. State: one open block a document."""
+    watermark on ts has moved on by a minute since the block's last cue came. The pause lies between one cue's end and the next one's start. State: one open
+    block a document, or after a block that timed out the number of the next."""
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         out = []
         block = list(state.get) if state.exists else None
         if state.hasTimedOut:
             out.append((key[0], *block))
-            state.remove()
+            state.update((block[0] + 1, 0.0, 0.0, None))
         else:
             rows = pd.concat(list(parts)).sort_values(["inicio", "fin"])
             for r in rows.itertuples():
-                if block and r.inicio - block[2] >= pause:
+                if block and block[3] is None:
+                    block = [block[0], r.inicio, r.fin, r.texto]
+                elif block and r.inicio - block[2] >= pause:
                     out.append((key[0], *block))
                     block = [block[0] + 1, r.inicio, r.fin, r.texto]
                 elif block:

@@ -24,6 +24,13 @@ def test_whole_run_and_its_cache(spark, tmp_path):
     cache = read_cache(spark, str(tmp_path), "framing-causal")
     again = run(files, Scripted([RuntimeError("x")]), Options(cache=cache))
     assert again.results.where("desde_cache").count() == 2 and read_cache(spark, str(tmp_path / "none"), "x") is None
+    tables = ("transcripts", "claims", "results", "summary", "cache")
+    counts = lambda: [spark.read.parquet(f"{tmp_path}/{t}").count() for t in tables]
+    before = counts()
+    run(files, Scripted([BACK])).write(str(tmp_path))
+    assert counts() == before
+    run(files, Scripted([BACK]), Options(write_cache=False)).write(str(tmp_path / "off"))
+    assert not (tmp_path / "off" / "cache").exists()
     open_ = run(files, Scripted([BACK]), Options(use_gate=False))
     recall = {r.doc_id: r for r in open_.recall().collect()}
     assert all(r.recall is not None and r.veredicto == "mejorable" for r in recall.values())
@@ -31,6 +38,47 @@ def test_whole_run_and_its_cache(spark, tmp_path):
     assert {f.n_cues for f in facts} == {7, 5}
 
 
+def test_keys_that_the_backend_leaves_out_fail(spark):
+    from locutio.operators.evaluate import NO_ANSWER, Replay, evaluated
+
+    class Silent(Replay):
+        def answers(self, asked, attempt):
+            return super().answers(asked, attempt).where("false")
+
+    from locutio.criteria.registry import criterion
+
+    claims = spark.createDataFrame([("d", 0, "a claim because", "es", "x", True), ("e", 0, "no", "es", "x", False)], "doc_id string, id int, texto string, idioma string, idioma_nombre string, preseleccionada boolean")
+    said = spark.createDataFrame([], "clave string, intento int, texto string")
+    rows = {r.doc_id: r for r in evaluated(claims, criterion("framing-causal"), Silent(said)).collect()}
+    assert (rows["d"].error, rows["d"].evaluada, rows["d"].intentos, rows["d"].llamadas) == (NO_ANSWER, False, 3, 0)
+    assert rows["e"].motivo_omision and rows["e"].error is None and rows["e"].intentos == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 256, 257, 700])
+def test_running_sums(spark, n):
+    from itertools import accumulate
+
+    from pyspark.sql import functions as F
+
+    from locutio.functions.text import running
+
+    values = [0.1 * (k % 7) for k in range(n)]
+    df = spark.createDataFrame([(values,)], "v array<double>")
+    assert df.select(running(F.col("v"), F.lit(0.0), "double")).first()[0] == list(accumulate([0.0, *values]))[:-1][:n]
+
+
+def test_long_document(spark):
+    from pyspark.sql import functions as F
+
+    from locutio.operators import segment
+
+    n = 20_000
+    cue = lambda i: F.struct((i * 2.0).alias("inicio"), (i * 2.0 + 1.0).alias("fin"), F.concat(F.lit("This is sentence number "), i.cast("string"), F.lit(".")).alias("texto"))
+    docs = spark.range(1).select(F.lit("d").alias("doc_id"), F.transform(F.sequence(F.lit(0), F.lit(n - 1)), cue).alias("segmentos"))
+    got = segment.claims(docs, None, "en").agg(F.count("*").alias("n"), F.sum("inicio").alias("s"), F.min(F.col("fin") - F.col("inicio")).alias("d")).first()
+    assert got.n == n and got.s == n * (n - 1) and 0.9 < got.d <= 1.0
+
+
 @pytest.mark.parametrize("wrong", [{"threshold": 2}, {"limit": 0}, {"retries": -1}, {"concurrency": 17}])
 def test_options(wrong):
     with pytest.raises(ValueError):
@@ -44,10 +92,10 @@ def test_command_line(spark, tmp_path):
     assert main(["analizar", FIXTURES, "--grabado", str(tmp_path / "missing"), "--salida", str(tmp_path / "o")]) == 1
     spark.createDataFrame([("k", 1, BACK)], "clave string, intento int, texto string").write.parquet(str(tmp_path / "said"))
     assert main(["medir-prefiltro", FIXTURES, "--grabado", str(tmp_path / "said"), "--salida", str(tmp_path / "o")]) == 0
-    assert main(["analizar", FIXTURES, "--grabado", str(tmp_path / "said"), "--criterio", "x"]) == 1
+    assert main(["analizar", FIXTURES, "--grabado", str(tmp_path / "said"), "--criterio", "x"]) == 2
 
 
-@pytest.mark.parametrize("name", ["input_kind", "gate_labels", "gate_selectivity", "claims", "pause_sessions", "gate_recall", "causal_verdicts", "report_rows"])
+@pytest.mark.parametrize("name", ["input_kind", "gate_labels", "gate_selectivity", "claims", "pause_sessions", "gate_recall", "causal_verdicts", "report_rows", "offsets", "time_interpolation", "plain_segments", "scripted_run", "csv_export"])
 def test_queries_match_their_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     got = queries.QUERIES[name](spark, SF)
@@ -63,7 +111,7 @@ def test_queries_match_their_sql(spark, name):
     shown = lambda rows: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in rows)
     key = lambda r: tuple(str(v) for v in r)
     a = sorted((tuple(r) for r in got.select(*names).collect()), key=key)
-    b = sorted(want.project(", ".join(names)).fetchall(), key=key)
+    b = sorted(want.project(", ".join(f'"{c}"' for c in names)).fetchall(), key=key)
     assert len(a) == len(b) and all(x == y or pytest.approx(x) == y for x, y in zip(a, b)), shown(a[:2])
 
 
