@@ -15,7 +15,7 @@ from locutio.llm import bpe
 from locutio.llm.packing import TOKENIZER, _tools
 
 own = _tools(TOKENIZER)[0]
-LONG = "long words " * 9000 + "x" * 70_000 + " \n" * 5000 + "é1" * 3000
+LONG = "long words " * 4000 + "x" * 20_000 + " \n" * 2000 + "é1" * 1000
 
 
 def coder_with(**sizes: int) -> bpe.Coder:
