@@ -10,7 +10,7 @@ from collections import Counter
 from .languages import FUNCTION_WORDS
 
 #: Ranks that a profile has; the most frequent trigram weighs this much, the next one less.
-RANKS = 400
+RANKS = 300
 
 # Seed texts, the first article of the Universal Declaration of Human Rights (public domain).
 SEEDS = {
@@ -65,14 +65,14 @@ MORE_WORDS = {
     "id": "yang dan di ini itu dengan untuk dari pada tidak adalah dalam akan ke juga oleh mereka telah karena",
     "lt": "ir kad yra su iš tai į ne kaip apie buvo bet tik jis dėl po prie savo jo",
     "lv": "un ir ka ar no tas par uz kā bet arī vai tika lai pēc viņš šis nav kas",
-    "nl": "de het een en van in is dat op te niet met voor zijn die aan er ook als maar",
+    "nl": "de het een en van in is dat op te niet met voor zijn die aan er ook als maar hij heeft wat bij naar nog wel wordt over uit dan door zo maar kan hun was werd geen deze waar oude",
     "no": "og i det er en til av på for med som ikke at den har de et om fra var jeg ikke vi kan så etter ut når opp hvor hadde mye ved enn alle også skulle hva gamle",
     "pl": "i w nie na się z do to że jest jak o ale za po tak od przez jego był czy",
     "ro": "și în de la cu a nu pe este că din un o care pentru mai se au fi ca",
     "ru": "и в не на что с он как это по но из за то от его было так для бы же",
     "sk": "a je sa na v že s z do o to ako ale sú za pre by bol jeho ktorý aj",
     "sr": "и је у на се да су за од с као што није или али који би то ће бити из",
-    "sv": "och i att det är en på som för av med inte den till har de ett om var från jag",
+    "sv": "och i att det är en på som för av med inte den till har de ett om var från jag inte vi kan så efter ut när upp där hade mycket vid än alla också skulle vad gamla",
     "sw": "na ya wa kwa ni katika za la kuwa hiyo cha kama watu pia lakini huo yake",
     "tl": "ang ng sa na mga ay at si ito hindi para kung may niya ako siya lang po",
     "tr": "ve bir bu da de için ile olarak çok daha gibi ne olan ama en değil var kadar",
@@ -98,9 +98,10 @@ ARABIC = [("ur", "ٹڈڑںے"), ("fa", "پچژگی")]
 
 
 def profile(text: str) -> dict[str, int]:
-    """The weights of a text's trigrams within words, a blank on either side: RANKS for the most frequent, then one less each, ties in code-point order."""
+    """The weights of a text's trigrams within words, a blank on either side: RANKS for the most frequent, one less for each that is more frequent."""
     n = Counter(f" {w} "[k : k + 3] for w in re.split(r"[\W\d_]+", text.lower()) if w for k in range(len(w)))
-    return {gram: RANKS - k for k, (gram, _) in enumerate(sorted(n.items(), key=lambda x: (-x[1], x[0]))[:RANKS])}
+    above = {times: sum(other > times for other in n.values()) for times in set(n.values())}
+    return {gram: RANKS - above[times] for gram, times in n.items() if above[times] < RANKS}
 
 
 PROFILES = {code: profile(f"{SEEDS[code]} {WORDS[code]}") for code in sorted(SEEDS)}
