@@ -19,6 +19,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--concurrencia", type=int, default=1)
     p.add_argument("--sin-prefiltro", action="store_true")
     p.add_argument("--sin-cache", action="store_true")
+    p.add_argument("--forzar", action="store_true", help="parse and ask again, whatever is stored")
     p.add_argument("--grabado", help="parquet of recorded answers (clave, intento, texto)")
     p.add_argument("--salida", default="salida")
     return p
@@ -47,7 +48,7 @@ def main(argv: list[str] | None = None) -> int:
     try:
         options = Options(a.criterio, a.modelo, a.umbral, a.reintentos, a.concurrencia, a.idioma, not (a.sin_prefiltro or a.accion == "medir-prefiltro"), a.limite)
         criterion(a.criterio)
-        options.write_cache = not a.sin_cache
+        options.write_cache, options.force, options.store = not a.sin_cache, a.forzar, a.salida
         options.cache = None if a.sin_cache else read_cache(spark, a.salida, a.criterio)
     except (ValueError, KeyError) as e:
         print(e, file=sys.stderr)

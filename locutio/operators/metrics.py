@@ -31,6 +31,20 @@ def language_histogram(results: DataFrame, by: list[str]) -> DataFrame:
     return counts.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("idioma_nombre", "n")))).alias("idiomas"))
 
 
+def performance(results: DataFrame, by: list[str]) -> DataFrame:
+    """by and what evaluation took: calls, load time, tokens, generation time, total time, cache hits and tokens a second. A text asked once counts once a
+    group."""
+    once = results.where("preseleccionada").groupBy(*by, "clave").agg(*(F.max(c).alias(c) for c in ("llamadas", "ms_carga", "tokens", "ms_generacion", "ms_llm")), F.count_if("desde_cache").alias("hits"))
+    total = once.groupBy(*by).agg(*(F.sum(c).alias(c) for c in ("llamadas", "ms_carga", "tokens", "ms_generacion", "ms_llm")), F.sum("hits").alias("desde_cache"))
+    rate = F.coalesce(fixed(F.try_divide(F.col("tokens"), F.col("ms_generacion")) * 1000, 1), F.lit(0.0))
+    return total.select(*by, F.struct("llamadas", "ms_carga", "tokens", "ms_generacion", "ms_llm", "desde_cache", rate.alias("tokens_por_segundo")).alias("rendimiento"))
+
+
+def full_summary(results: DataFrame, by: list[str], threshold: float = 0.7) -> DataFrame:
+    """summary with idiomas, the number of claims by language name, and rendimiento, what evaluation took; null where nothing was selected."""
+    return summary(results, by, threshold).join(language_histogram(results, by), by, "left").join(performance(results, by), by, "left")
+
+
 def gate_recall(results: DataFrame, by: list[str], threshold: float = 0.7) -> DataFrame:
     """What the gate would have caught of the high scores of an ungated run, and what it would have saved. Columns: marcadores, evaluada, score."""
     marked, high = F.size("marcadores") > 0, F.col("evaluada") & (F.col("score") >= threshold)

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..criteria.base import Criterion
 from ..criteria.registry import DEFAULT, criterion
-from ..operators import evaluate, metrics, segment
+from ..functions.languages import detected
+from ..operators import evaluate, metrics, segment, store
 from ..operators.evaluate import Backend
 from ..operators.stored import stored
-from ..sources.subtitles import transcripts
+from ..sources.subtitles import PARSER_VERSION, transcripts
 
 SCHEMA_VERSION = 1
 
@@ -29,7 +30,8 @@ class Options:
     limit: int | None = None
     cache: DataFrame | None = None
     write_cache: bool = True
-    extra: dict = field(default_factory=dict)
+    force: bool = False
+    store: str | None = None
 
     def __post_init__(self) -> None:
         for ok, said in (
@@ -51,6 +53,7 @@ class Run:
     criterion: Criterion
     threshold: float
     write_cache: bool = True
+    model: str = Options.model
 
     def recall(self) -> DataFrame:
         """Recall of the gate; only an ungated run tells it."""
@@ -59,16 +62,17 @@ class Run:
         return out.withColumn("veredicto", metrics.recall_verdict(F.col("recall")))
 
     def write(self, path: str) -> None:
-        """Tables transcripts, claims, results, summary and cache under path, the last four partitioned by criterion.
+        """Tables transcripts, claims, results, summary and cache under path, a store that many runs share.
 
-        The tables hold the last run of each criterion, so a run that is repeated leaves what it left before. The cache grows by the keys it lacks, unless
-        the run was told not to write it.
+        A run replaces what the store holds of its own documents: transcripts by document, the next three by criterion, model and document, with the
+        versions of prompt, schema and validator. The cache grows by the keys it lacks, unless the run was told not to write it.
         """
-        stamp = {"criterio": self.criterion.id, "hash_prompt": self.criterion.prompt_hash, "version_esquema": SCHEMA_VERSION, "version_validador": self.criterion.validator_version}
-        self.transcripts.write.mode("overwrite").parquet(f"{path}/transcripts")
+        documents = stored(self.transcripts.select("doc_id"))
+        store.upsert(self.transcripts, documents, path, "transcripts", {})
+        stamp = {"hash_prompt": self.criterion.prompt_hash, "version_esquema": SCHEMA_VERSION, "version_validador": self.criterion.validator_version}
         for name in ("claims", "results", "summary"):
-            df = getattr(self, name).withColumns({k: F.lit(v) for k, v in stamp.items()})
-            df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("criterio").parquet(f"{path}/{name}")
+            rows = getattr(self, name).withColumns({k: F.lit(v) for k, v in stamp.items()})
+            store.upsert(rows, documents, path, name, {"criterio": self.criterion.id, "modelo": self.model})
         if not self.write_cache:
             return
         fresh = evaluate.new_cache_rows(self.results)
@@ -77,6 +81,24 @@ class Run:
         fresh.withColumn("criterio", F.lit(self.criterion.id)).write.mode("append").partitionBy("criterio").parquet(f"{path}/cache")
 
 
+def parsed_once(files: DataFrame, path: str | None, force: bool = False, lang: str | None = None) -> DataFrame:
+    """Transcripts of files: those that the store at path holds with cues, made by the present parser, are taken from there, only the others are parsed.
+    force parses all. idioma_documento is lang or what the whole text is in, duracion the end of the last cue."""
+
+    def told(found: DataFrame) -> DataFrame:
+        cues = F.col("segmentos")
+        named = F.lit(lang) if lang else F.when(F.size(cues) > 0, detected(segment.joined_text(cues))).otherwise("und")
+        return found.withColumn("idioma_documento", named).withColumn("duracion", F.get(cues, F.size(cues) - 1).fin)
+
+    rows = store.read(files.sparkSession, path, "transcripts") if path and not force else None
+    held = store.current(rows, {"version_parseo": PARSER_VERSION})
+    if held is None:
+        return told(transcripts(files))
+    held = held.where(F.size("segmentos") > 0).join(files.select("doc_id").distinct(), "doc_id", "left_semi")
+    new = told(transcripts(files.join(held.select("doc_id"), "doc_id", "left_anti")))
+    return new.unionByName(held.select(new.columns))
+
+
 def read_cache(spark: SparkSession, path: str, criterion_id: str) -> DataFrame | None:
     """Stored verdicts of a criterion in the present version, or None if nothing is stored."""
     from pyspark.errors import AnalysisException
@@ -92,13 +114,16 @@ def run(files: DataFrame, backend: Backend, options: Options | None = None) -> R
     """files (doc_id, path, content). Files without cues stay in transcripts with their problem and give no claims."""
     o = options or Options()
     c = criterion(o.criterion)
-    parsed = transcripts(files)
+    parsed = parsed_once(files, o.store, o.force, o.lang)
+    if o.store:
+        # the store's files are replaced by what is read from them
+        parsed = stored(parsed)
     # every round and every table reads the claims, so they are made once
     claims = stored(segment.claims(parsed.select("doc_id", "segmentos"), c.gate, o.lang, o.use_gate, o.limit))
     if o.concurrency is not None and isinstance(backend, evaluate.External):
         backend = evaluate.External(backend.make, o.concurrency)
-    results = evaluate.evaluated(claims, c, backend, o.model, o.retries, o.cache)
-    return Run(parsed, claims, results, metrics.summary(results, ["doc_id"], o.threshold), c, o.threshold, o.write_cache)
+    results = stored(evaluate.evaluated(claims, c, backend, o.model, o.retries, None if o.force else o.cache))
+    return Run(parsed, claims, results, metrics.full_summary(results, ["doc_id"], o.threshold), c, o.threshold, o.write_cache, o.model)
 
 
 def transcript_facts(parsed: DataFrame) -> DataFrame:
