@@ -14,15 +14,18 @@ def let(value: Column, body) -> Column:
 
 
 def running(values: Column, zero: Column, kind: str) -> Column:
-    """Sum of what comes before each value, added from the left. Sums are kept once every 256 values, so a long array isn't copied at each step."""
+    """Sum of what comes before each value, added from the left. Sums are kept every 256 values, then every 16, and each value adds up what is left, so its
+    cost is some thirty steps a value and a long array isn't copied at each of them."""
     add = lambda s, x: s + x
+    none = F.array().cast("array<int>")
 
     def sums(own: Column) -> Column:
-        blocks = F.when(F.size(own) > 0, F.sequence(F.lit(0), F.shiftright(F.size(own) - 1, 8))).otherwise(F.array().cast("array<int>"))
+        upto = lambda bits: F.when(F.size(own) > 0, F.sequence(F.lit(0), F.shiftright(F.size(own) - 1, bits))).otherwise(none)
         start = F.struct(F.array().cast(f"array<{kind}>").alias("out"), zero.alias("at"))
         step = lambda acc, b: F.struct(F.array_append(acc.out, acc.at).alias("out"), F.aggregate(F.slice(own, b * 256 + 1, 256), acc.at, add).alias("at"))
-        within = lambda bases: F.transform(own, lambda _, i: F.aggregate(F.slice(own, F.shiftright(i, 8) * 256 + 1, i.bitwiseAND(255)), F.get(bases, F.shiftright(i, 8)), add))
-        return let(F.aggregate(blocks, start, step, lambda acc: acc.out), within)
+        beyond = lambda bases: F.transform(upto(4), lambda g: F.aggregate(F.slice(own, F.shiftright(g, 4) * 256 + 1, g.bitwiseAND(15) * 16), F.get(bases, F.shiftright(g, 4)), add))
+        within = lambda bases: F.transform(own, lambda _, i: F.aggregate(F.slice(own, F.shiftright(i, 4) * 16 + 1, i.bitwiseAND(15)), F.get(bases, F.shiftright(i, 4)), add))
+        return let(let(F.aggregate(upto(8), start, step, lambda acc: acc.out), beyond), within)
 
     return let(values, sums)
 

@@ -165,9 +165,22 @@ def rolling_share(spark, sf):
     return sliding(spark, sf).select("doc_id", F.coalesce(subtitles.looks_rolling(F.col("segmentos")), F.lit(False)).alias("rolling"))
 
 
-@query()
+@query(
+    f"""with recursive w as (select doc_id, {_SQL_SAID} as w, case when doc_id % 2 = 0 then 8 else 12 end as m from documents),
+c as (select doc_id, k, w[k * m + 1:k * m + 12] as cue from w, unnest(range(0, greatest(1, ceil(len(w) / m)::bigint))) as u(k) where len(w) > 0),
+p as (select doc_id, {_SQL_BARE.format("lag(cue) over (partition by doc_id order by k)")} as a, {_SQL_BARE.format("cue")} as b from c),
+o as (select doc_id, len(list_filter(range(2, least(len(a), len(b)) + 1), lambda n: a[len(a) - n + 1:len(a)] = b[1:n])) > 0 as hit from p where len(a) >= 4 and len(b) >= 4),
+rolling as (select doc_id from o group by doc_id having count(*) >= 4 and (count(*) filter (where hit)) / count(*) > 0.3),
+own as (select doc_id, k, cue, {_SQL_BARE.format("cue")} as bare from c join rolling using (doc_id)),
+said as (select doc_id, -1::bigint as k, []::varchar[] as tail, []::varchar[] as rest from rolling
+  union all select doc_id, k, list_concat(tail, bare[n + 1:])[-60:] as tail, cue[n + 1:] as rest from (
+    select own.*, tail, coalesce(list_max(list_filter(range(2, least(len(tail), len(bare)) + 1), lambda n: tail[len(tail) - n + 1:len(tail)] = bare[1:n])), 0) as n
+    from said join own on own.doc_id = said.doc_id and own.k = said.k + 1)),
+e as (select doc_id, k, rest from said where len(rest) > 0 union all select doc_id, k, cue from c where doc_id not in (select doc_id from rolling))
+select doc_id, count(*)::integer as n_cues, sum(len(rest))::integer as n_words, md5(string_agg(array_to_string(rest, ' '), ' ' order by k)) as text_md5 from e group by doc_id"""
+)
 def deoverlap(spark, sf):
-    """Sequential over the words said so far, so there is no SQL; the cues of even documents lose what repeats."""
+    """The cues of even documents lose what repeats; the SQL goes from cue to cue with the words said last."""
     out = sliding(spark, sf).select("doc_id", subtitles.repaired(F.col("segmentos")).alias("c"))
     return out.select("doc_id", F.size("c").alias("n_cues"), F.size(F.split(segment.joined_text(F.col("c")), " ")).alias("n_words"), F.md5(segment.joined_text(F.col("c")).cast("binary")).alias("text_md5"))
 

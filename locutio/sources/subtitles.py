@@ -16,6 +16,8 @@ MIN_OVERLAP, TAIL = 2, 60
 ROLLING_WORDS, ROLLING_PAIRS, ROLLING_SHARE = 4, 4, 0.3
 WORDS_A_SECOND, MIN_DURATION, MIN_MARKS = 2.5, 1.0, 3
 PARSER_VERSION = 2
+#: Words up to which an overlap is sought by trying each length.
+FEW = 64
 
 # How time lines and time marks are written.
 _T = r"(?:\d{1,2}:)?\d{1,2}:\d{2}[.,]\d{1,3}"
@@ -80,16 +82,50 @@ def overlap_length(before: Column, after: Column) -> Column:
 
 
 def overlap_of(a: Column, b: Column) -> Column:
-    """Overlap of two arrays of bare words. The longest that fits is sought, so lengths are tried from the longest on."""
+    """Overlap of two arrays of bare words: the longest end of a that opens b. Up to FEW words every length is tried, beyond that sums tell which may fit."""
+    few = lambda x, y: F.least(F.size(x), F.size(y)) <= FEW
+    return let(a, lambda x: let(b, lambda y: F.when(few(x, y), _overlap_of_few(x, y)).otherwise(_overlap_of_many(x, y))))
+
+
+def _overlap_of_few(x: Column, y: Column) -> Column:
+    m = F.least(F.size(x), F.size(y))
+    lengths = F.when(m >= MIN_OVERLAP, F.sequence(m, F.lit(MIN_OVERLAP), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+    # the last word of an overlap ends x, so only places of that word in y are tried in full
+    ends = F.filter(lengths, lambda n: (F.get(y, n - 1) == F.get(x, F.size(x) - 1)) & (F.slice(x, F.size(x) - n + 1, n) == F.slice(y, F.lit(1), n)))
+    return F.coalesce(F.get(ends, F.lit(0)), F.lit(0))
+
+
+def _overlap_of_many(a: Column, b: Column) -> Column:
+    """The same in steps that are linear in the words, whatever repeats in them.
+
+    Two running sums over hashes of the words, one of them weighted by place, tell for every length whether the end and the beginning can be equal;
+    those lengths are compared word by word from the longest on, until one is. Linear in the words, whatever repeats in them.
+    """
+    some = F.array().cast("array<int>")
 
     def found(x: Column, y: Column) -> Column:
         m = F.least(F.size(x), F.size(y))
-        lengths = F.when(m >= MIN_OVERLAP, F.sequence(m, F.lit(MIN_OVERLAP), F.lit(-1))).otherwise(F.array().cast("array<int>"))
-        # the last word of an overlap ends x, so only places of that word in y are tried in full
-        ends = F.filter(lengths, lambda n: (F.get(y, n - 1) == F.get(x, F.size(x) - 1)) & (F.slice(x, F.size(x) - n + 1, n) == F.slice(y, F.lit(1), n)))
-        return F.coalesce(F.get(ends, F.lit(0)), F.lit(0))
+        hashed = lambda w: F.transform(w, lambda t: F.xxhash64(t).bitwiseAND((1 << 24) - 1))
+        tail, head = F.slice(x, F.size(x) - m + 1, m), F.slice(y, F.lit(1), m)
+
+        def tried(h: Column, g: Column) -> Column:
+            placed = lambda own: F.transform(own, lambda v, i: v * i)
+            sums = lambda own, body: let(running(F.array_append(own, F.lit(0).cast("bigint")), F.lit(0).cast("bigint"), "bigint"), body)
+            plain = lambda hs: sums(g, lambda gs: sums(placed(h), lambda hp: sums(placed(g), lambda gp: matched(hs, gs, hp, gp))))
+            return sums(h, plain)
+
+        def matched(hs: Column, gs: Column, hp: Column, gp: Column) -> Column:
+            lengths = F.when(m >= MIN_OVERLAP, F.sequence(m, F.lit(MIN_OVERLAP), F.lit(-1))).otherwise(some)
+            ends = lambda n: F.get(hs, m) - F.get(hs, m - n)
+            # places of the end count from its own first word
+            placed = lambda n: F.get(hp, m) - F.get(hp, m - n) - (m - n) * ends(n)
+            may = F.filter(lengths, lambda n: (ends(n) == F.get(gs, n)) & (placed(n) == F.get(gp, n)))
+            first = lambda acc, n: F.when(acc > 0, acc).when(F.slice(tail, m - n + 1, n) == F.slice(head, F.lit(1), n), n).otherwise(0)
+            return F.aggregate(may, F.lit(0), first)
+
+        return F.when(m < MIN_OVERLAP, 0).otherwise(let(hashed(tail), lambda h: let(hashed(head), lambda g: tried(h, g))))
 
-    return let(a, lambda x: let(b, lambda y: found(x, y)))
+    return let(a, lambda x: let(b, lambda y: F.coalesce(found(x, y), F.lit(0))))
 
 
 def looks_rolling(cues: Column) -> Column:
@@ -123,7 +159,7 @@ def without_overlap(cues: Column) -> Column:
             return F.struct(F.array_append(acc.out, one).alias("out"), tail.alias("tail"))
 
         def added(own: Column) -> Column:
-            n = overlap_of(acc.tail, F.transform(own, bare_word))
+            n = let(F.transform(F.slice(own, 1, TAIL), bare_word), lambda y: _overlap_of_few(acc.tail, y))  # no overlap is longer than the tail
             return let(F.slice(own, n + 1, F.greatest(F.size(own), F.lit(1))), lambda rest: F.when(F.size(rest) == 0, nothing_new(rest)).otherwise(more(rest)))
 
         return let(words(cue.texto), added)
