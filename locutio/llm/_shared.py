@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import functools
 import tempfile
 import uuid
@@ -54,6 +55,22 @@ def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def releasing(mapped: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """mapped, after whose last batch what the worker has freed goes back to the system: workers outlive their tasks, and would keep the most that any
+    of them took."""
+
+    @functools.wraps(mapped)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from mapped(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not a GNU system
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
+
+
 def per_document(df: DataFrame, kernel: Callable[[Iterator[tuple]], Iterator[tuple]], schema: pa.Schema, ddl: str, rows: int = 1024, size: int = 4 << 20) -> DataFrame:
     """Apply kernel to the rows of df as an iterator of tuples and return its tuples as a DataFrame; one narrow pass, Arrow batches both ways.
 
@@ -79,7 +96,7 @@ def per_document(df: DataFrame, kernel: Callable[[Iterator[tuple]], Iterator[tup
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*held), schema)], names=names)
 
-    return df.mapInArrow(mapped, ddl)
+    return df.mapInArrow(releasing(mapped), ddl)
 
 
 def appended(df: DataFrame, inputs: list[str], kernel: Callable[..., tuple], fields: list[tuple[str, pa.DataType, str]]) -> DataFrame:
@@ -95,7 +112,7 @@ def appended(df: DataFrame, inputs: list[str], kernel: Callable[..., tuple], fie
                 yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*part.schema.names, *schema.names])
 
     out = StructType([*df.schema.fields, *StructType.fromDDL(", ".join(f"__{name} {kind}" for name, _, kind in fields)).fields])
-    return df.mapInArrow(mapped, out)
+    return df.mapInArrow(releasing(mapped), out)
 
 
 def filtering(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
@@ -145,7 +162,7 @@ def _contracted(edges: DataFrame) -> DataFrame:
         if held:
             yield star()
 
-    return edges.mapInArrow(mapped, "u long, v long")
+    return edges.mapInArrow(releasing(mapped), "u long, v long")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

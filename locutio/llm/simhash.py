@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import checkpointed, connected_components, filtering, joined, per_document, small_batches, table
+from ._shared import checkpointed, connected_components, filtering, joined, per_document, releasing, small_batches, table
 
 SEED = 42
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -150,7 +150,7 @@ def links(classes: DataFrame, bits: int, budget: int, key_bits: int = 16) -> Dat
         if held[0]:
             yield from found(*held)
 
-    return dealt.mapInArrow(mapped, "u long, v long")
+    return dealt.mapInArrow(releasing(mapped), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 64, budget: int = 3, distinct: bool = False, key_bits: int = 16) -> DataFrame:
@@ -202,7 +202,7 @@ def _common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         if held:
             yield batch_of()
 
-    found = docs.select("text").mapInArrow(counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(_TOLD).toArrow()
+    found = docs.select("text").mapInArrow(releasing(counted), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(_TOLD).toArrow()
     keys, counts = np.asarray(found["shingle"], np.int64), np.asarray(found["n"], np.int64)
     order = np.argsort(keys)
     return keys[order], counts[order]
@@ -303,7 +303,7 @@ def _by_shingle(dealt: DataFrame, kernel, ddl: str) -> DataFrame:
         if held:
             yield from kernel(np.concatenate(held, 1))
 
-    return dealt.mapInArrow(mapped, ddl)
+    return dealt.mapInArrow(releasing(mapped), ddl)
 
 
 def _guessed(firsts: DataFrame) -> DataFrame:
