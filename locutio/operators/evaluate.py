@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..criteria.base import VERDICT, Criterion
@@ -91,11 +91,12 @@ def keyed(claims: DataFrame, criterion: Criterion, model: str) -> DataFrame:
     return claims.withColumn("clave", evaluation_key(F.lit(model), F.lit(criterion.prompt_hash), F.col("texto")))
 
 
-def evaluated(claims: DataFrame, criterion: Criterion, backend: Backend, model: str = "qwen2.5:3b", retries: int = RETRIES, cache: DataFrame | None = None) -> DataFrame:
+def evaluated(claims: DataFrame, criterion: Criterion, backend: Backend, model: str = "qwen2.5:3b", retries: int = RETRIES, cache: DataFrame | None = None, progress: Callable[[dict], None] | None = None) -> DataFrame:
     """claims plus evaluada, desde_cache, evaluacion, ajustes, error, motivo_omision, intentos, ms_llm, ms_carga, ms_generacion and tokens.
 
     cache holds (clave, evaluacion) and may be None, which reads nothing. A cached verdict counts no attempt. Claims that the gate left out take no part in
-    the joins. A key for which the backend returns no row has failed in that attempt.
+    the joins. A key for which the backend returns no row has failed in that attempt. progress is told of each round: vuelta, preguntadas, listas, llamadas,
+    tokens and tokens_por_segundo of that round's keys.
     """
     rows = keyed(claims, criterion, model)
     picked = F.coalesce("preseleccionada", F.lit(False))
@@ -127,6 +128,8 @@ def evaluated(claims: DataFrame, criterion: Criterion, backend: Backend, model:
         # each answer is asked for once, so a round ends in a table
         tried = stored(tried.select("clave", "texto", "idioma_nombre", "problema", *(f"_{k}" for k in zero), "_v", F.lit(attempt).alias("_n")))
         ok = F.coalesce(F.col("_v.ok"), F.lit(False))
+        if progress is not None:
+            progress(_round(tried, ok, attempt))
         over = tried if attempt == retries + 1 else tried.where(ok)
         done = over if done is None else done.unionByName(over)
         open_ = tried.where(~ok).drop("_v", "_n")
@@ -148,6 +151,13 @@ def evaluated(claims: DataFrame, criterion: Criterion, backend: Backend, model:
     )
 
 
+def _round(tried: DataFrame, ok: Column, attempt: int) -> dict:
+    """What a round has done, from its table."""
+    told = tried.agg(F.count("*").alias("preguntadas"), F.count_if(ok).alias("listas"), *(F.coalesce(F.sum(f"_{k}"), F.lit(0)).alias(k) for k in ("llamadas", "tokens", "ms_generacion"))).first()
+    rate = round(told["tokens"] / told["ms_generacion"] * 1000, 1) if told["ms_generacion"] else 0.0
+    return {"vuelta": attempt, "preguntadas": told["preguntadas"], "listas": told["listas"], "llamadas": told["llamadas"], "tokens": told["tokens"], "tokens_por_segundo": rate}
+
+
 def new_cache_rows(results: DataFrame) -> DataFrame:
     """(clave, evaluacion, version) of fresh verdicts, to be appended to the cache."""
     fresh = results.where(F.col("evaluada") & ~F.col("desde_cache"))

@@ -6,7 +6,7 @@ there is no shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.languages import candidates, detected, language_name, segment_language
@@ -153,3 +153,39 @@ def claims(docs: DataFrame, gate: Gate | None = None, lang: str | None = None, u
     own = F.col("_doc") if lang is not None else segment_language(F.col("texto"), F.col("_doc"), F.col("_candidates"), F.when(F.length("texto") >= 140, detected(F.col("texto"))).otherwise("und"))
     rows = rows.select(*keep, claim_id(F.col("indice")).alias("id"), "indice", "inicio", "fin", "texto", own.alias("idioma"))
     return gated(rows.withColumn("idioma_nombre", language_name(F.col("idioma"))), gate, use_gate, limit)
+
+
+#: Cues of a block of running sums, and characters of a bin of offsets, as powers of two.
+BLOCK_BITS, BIN_BITS = 12, 12
+
+
+def placed_cues(cues: DataFrame) -> DataFrame:
+    """(doc_id, desde, hasta, inicio, fin) of rows (doc_id, indice, inicio, fin, texto): where each cue with text stands in its document's joined text, as
+    anchors gives it, but with a row a cue. Sums run within blocks of cues and over the blocks, so a document of any length is dealt over many tasks."""
+    own = cues.select("doc_id", "indice", F.length(squeeze(F.col("texto"))).cast("bigint").alias("n"), "inicio", F.greatest("fin", "inicio").alias("fin"), F.shiftright("indice", BLOCK_BITS).alias("_block")).where("n > 0")
+    blocks = own.groupBy("doc_id", "_block").agg(F.sum(F.col("n") + 1).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("doc_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.coalesce(F.sum(F.col("n") + 1).over(Window.partitionBy("doc_id", "_block").orderBy("indice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    both = own.withColumn("_in", within).join(blocks.select("doc_id", "_block", before.alias("_before")), ["doc_id", "_block"])
+    start = F.col("_before") + F.col("_in")
+    return both.select("doc_id", start.alias("desde"), (start + F.col("n")).alias("hasta"), "inicio", "fin")
+
+
+def timed_by_join(points: DataFrame, placed: DataFrame, offset: str = "offset", to: str = "segundos") -> DataFrame:
+    """points (doc_id, offset, ...) plus the seconds at each offset, as time_at gives them: an as-of join with placed cues.
+
+    A cue answers for the offsets from the end of the one before it to its own, so each offset meets one cue. Both sides are dealt by document and bin of
+    offsets, one shuffle each; offsets outside the text take the nearest end. Documents without cues give 0.
+    """
+    spans = placed.select("doc_id", "desde", "hasta", "inicio", "fin", F.explode(F.sequence(F.shiftright(F.greatest(F.col("desde") - 1, F.lit(0)), BIN_BITS), F.shiftright(F.col("hasta") - 1, BIN_BITS))).alias("_bin"))
+    ends = placed.groupBy("doc_id").agg(F.max(F.struct("hasta", "fin")).alias("_last"))
+    at = F.col(offset)
+    # offsets that no cue answers for lie anywhere
+    asked = points.withColumn("_bin", F.shiftright(F.greatest(at.cast("bigint"), F.lit(0)), BIN_BITS))
+    p, c = asked.alias("p"), spans.alias("c")
+    here = F.greatest(F.col(f"p.{offset}"), F.lit(0))
+    met = p.join(c, (F.col("p.doc_id") == F.col("c.doc_id")) & (F.col("p._bin") == F.col("c._bin")) & (here >= F.col("c.desde") - 1) & (here < F.col("c.hasta")), "left")
+    share = (here - F.col("c.desde")) / F.greatest(F.lit(1), F.col("c.hasta") - F.col("c.desde"))
+    own = F.when(here < F.col("c.desde"), F.col("c.inicio")).otherwise(F.col("c.inicio") + share * (F.col("c.fin") - F.col("c.inicio")))
+    found = met.select(*(F.col(f"p.`{k}`") for k in points.columns), own.alias("_own"), F.col("c.inicio").isNotNull().alias("_met"))
+    return found.join(ends, "doc_id", "left").select(*points.columns, F.when(F.col("_met"), F.col("_own")).when(F.col("_last").isNotNull(), F.col("_last.fin")).otherwise(0.0).alias(to))

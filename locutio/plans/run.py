@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +33,7 @@ class Options:
     write_cache: bool = True
     force: bool = False
     store: str | None = None
+    progress: Callable[[dict], None] | None = None
 
     def __post_init__(self) -> None:
         for ok, said in (
@@ -122,7 +124,7 @@ def run(files: DataFrame, backend: Backend, options: Options | None = None) -> R
     claims = stored(segment.claims(parsed.select("doc_id", "segmentos"), c.gate, o.lang, o.use_gate, o.limit))
     if o.concurrency is not None and isinstance(backend, evaluate.External):
         backend = evaluate.External(backend.make, o.concurrency)
-    results = stored(evaluate.evaluated(claims, c, backend, o.model, o.retries, None if o.force else o.cache))
+    results = stored(evaluate.evaluated(claims, c, backend, o.model, o.retries, None if o.force else o.cache, o.progress))
     return Run(parsed, claims, results, metrics.full_summary(results, ["doc_id"], o.threshold), c, o.threshold, o.write_cache, o.model)
 
 
