@@ -475,13 +475,20 @@ def score_repair(spark, sf):
     return rows.select("id", F.when(F.col("n").isNotNull(), score).alias("score"), F.when(F.col("n").isNotNull(), F.size(notes)).alias("n_notes"))
 
 
-_RAW = [(1, 'Claro:\n```json\n{"a": 1}\n```\nfin', '\n{"a": 1}\n'.strip()), (2, '{"a": "un } falso", "b": 1} sobra', '{"a": "un } falso", "b": 1}'), (3, "no puedo", None), (4, 'x {"a": {"b": {}}} y {"c": 1}', '{"a": {"b": {}}}'), (5, '{"a": "\\" }"} z', '{"a": "\\" }"}'), (6, '{"a": 1', None)]
+# an answer made of a document's text, as a string of an object, between other words
+_SQL_SAID_JSON = "replace(replace(text, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"')"
+_SQL_OBJECT = f"""'{{"doc": ' || doc_id || ', "inner": {{"texto": "' || {_SQL_SAID_JSON} || '"}}}}'"""
 
 
-@query(f"select id, found from {values([(a, c) for a, _, c in _RAW], 'id, found')}")
+@query(f"select doc_id, case when doc_id % 4 = 3 then null else md5({_SQL_OBJECT}) end as found_md5 from documents")
 def json_extract(spark, sf):
-    rows = spark.createDataFrame([(a, b) for a, b, _ in _RAW], "id int, raw string")
-    return rows.select("id", repair.json_object("raw").alias("found"))
+    """The object in each of as many answers as there are documents: in a fence, between braces of other words, escaped, or without an end."""
+    said = F.replace(F.replace("text", F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    begun = F.concat(F.lit('{"doc": '), F.col("doc_id").cast("string"), F.lit(', "inner": {"texto": "'), said)
+    whole = F.concat(begun, F.lit('"}}'))
+    k = F.col("doc_id") % 4
+    raw = F.when(k == 0, whole).when(k == 1, F.concat(F.lit("Claro:\n```json\n"), whole, F.lit("\n``` } fin"))).when(k == 2, F.concat(F.lit("}"), whole, F.lit(' and {"c": 1}'))).otherwise(F.concat(begun, F.lit('}}')))
+    return table(spark, sf, "documents").select("doc_id", F.md5(repair.json_object(raw).cast("binary")).alias("found_md5"))
 
 
 @query(
