@@ -20,13 +20,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Labels of up to so many bytes as stored go to every executor.
+SMALL_LABELS = 8 << 20
+
+
+def _bytes(df: DataFrame) -> int:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 #: Inputs below are dealt over all cores first: a small file is one row group, which one task would read and parse alone.
 SMALL = 128 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    if int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SMALL:
+    if _bytes(docs) < SMALL:
         return docs.repartition(spark.sparkContext.defaultParallelism)
     return docs
 
@@ -67,8 +75,13 @@ def sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results of an ungated run over the labelled documents: (doc_id, indice, lang, source, marcadores, preseleccionada, evaluada, score)."""
-    # the gate reads a text before the join, so that texts aren't shuffled
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("indice"), "lang", "source", TEST_GATE.markers(F.col("text")).alias("marcadores"), "n_chars")
-    found = docs.join(table(spark, sf_dir, "labels"), "doc_id")
+    labels = table(spark, sf_dir, "labels")
+    docs = documents(spark, sf_dir).select("doc_id", F.lit(0).alias("indice"), "lang", "source", "text", "n_chars")
+    marks = TEST_GATE.markers(F.col("text")).alias("marcadores")
+    if _bytes(labels) <= SMALL_LABELS:
+        # only texts that are labelled are gated, and none is shuffled
+        found = docs.join(F.broadcast(labels), "doc_id").select("*", marks)
+    else:
+        found = docs.select("doc_id", "indice", "lang", "source", marks, "n_chars").join(labels, "doc_id")
     score = F.col("n_chars") % 101 / 100
     return found.select("doc_id", "indice", "lang", "source", "marcadores", (F.size("marcadores") > 0).alias("preseleccionada"), (F.col("quality") == 1).alias("evaluada"), score.alias("score"))
