@@ -3,7 +3,7 @@
 Numbers, units and names of a text become typed placeholders, and eight-token windows of these templates are hashed. The benchmark's windows are a
 table; a filter of their hashes, of bounded size, keeps the texts' other windows from being shuffled, and a hash join with the table on the window
 removes what the filter lets through by chance. The windows of a text and an item are then aligned and their slots compared: a window counts if its
-slots are literally equal, or if each changed value of the item stands for one value of the document and each of the document for one of the item,
+slots are literally equal (windows with few plain words are hashed with their values, as they can count in no other way), or if each changed value of the item stands for one value of the document and each of the document for one of the item,
 within numbers, units and names and over all alignments that count. That also finds questions whose numbers, names or units were replaced.
 """
 
@@ -84,6 +84,30 @@ def windows(codes: np.ndarray, k: int = WINDOW) -> np.ndarray:
     return out
 
 
+def template_windows(codes: np.ndarray, words: list[str], k: int = WINDOW) -> np.ndarray:
+    """windows, where those with too few plain words to be a template are told by their slots' values too: such a window counts only if these are literally
+    equal, and a table of numbers doesn't meet every other one."""
+    out = windows(codes, k)
+    slots = codes < 1024
+    if not slots.any():
+        return out
+    k = min(k, len(codes))
+    sums = np.concatenate([[0], np.cumsum(slots)])
+    some = np.flatnonzero(sums[k:] > sums[:-k])
+    own = np.sort(np.lib.stride_tricks.sliding_window_view(codes, k)[some], 1)
+    plain = own >= 1024
+    weak = some[plain[:, 0] + (plain[:, 1:] & (own[:, 1:] != own[:, :-1])).sum(1) < LITERAL * k]
+    if len(weak):
+        exact = codes.copy()
+        inside = np.zeros(len(codes) + 1, np.int64)
+        np.add.at(inside, weak, 1)
+        np.add.at(inside, weak + k, -1)
+        for t in np.flatnonzero(slots & (np.cumsum(inside)[:-1] > 0)).tolist():
+            exact[t] = xxhash.xxh64_intdigest(_surface(words[t]).lower(), int(codes[t])) | 1024
+        out[weak] = windows(exact, k)[weak]
+    return out
+
+
 def conflicting(pairs: dict[int, tuple[int, str, str]]) -> set[int]:
     """The slots, of (kind, value of the item, value of the text), whose values differ and don't map one to one within their kind."""
     there: dict[tuple[int, str], set[str]] = defaultdict(set)
@@ -147,8 +171,8 @@ def _item_windows(items: DataFrame) -> DataFrame:
 
     def kernel(rows: Iterator[tuple]) -> Iterator[tuple]:
         for item_id, item, text in rows:
-            codes, _ = template(text)
-            for q, h in enumerate(windows(codes).view(np.int64).tolist()):
+            codes, words = template(text)
+            for q, h in enumerate(template_windows(codes, words).view(np.int64).tolist()):
                 yield h, min(WINDOW, len(codes)), item_id, item, q
 
     return per_document(items, kernel, schema, "h long, width long, item_id long, item long, q long")
@@ -182,7 +206,7 @@ def _text_windows(docs: DataFrame, shared, bits: int, widths: list[int]) -> Data
             for width in widths:
                 if len(codes) < width:
                     continue
-                own = windows(codes, width)
+                own = template_windows(codes, words, width)
                 ok = np.ones(len(own), bool)
                 for place in (own & np.uint64((1 << bits) - 1), own >> np.uint64(64 - bits)):
                     ok &= (held[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1

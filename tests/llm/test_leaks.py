@@ -1,6 +1,7 @@
 """Leaks that differ from their item in some slots or some words."""
 
 import random
+import time
 
 import pytest
 
@@ -13,7 +14,7 @@ def leak(item: str, text: str):
     """What the operator finds, from all pairs of windows."""
     (icodes, iwords), (codes, words) = (decontaminate.template(x or "") for x in (item, text))
     width = min(decontaminate.WINDOW, len(icodes))
-    there, own = decontaminate.windows(icodes), decontaminate.windows(codes, width) if len(codes) >= width else []
+    there, own = decontaminate.template_windows(icodes, iwords), decontaminate.template_windows(codes, words, width) if len(codes) >= width else []
     low = lambda w: decontaminate._surface(w).lower()
     spots = [(p, q, [low(words[t]) for t in range(p, p + width) if codes[t] < 1024]) for p in range(len(own)) for q in range(len(there)) if own[p] == there[q]]
     return decontaminate.aligned(icodes.tolist(), [low(w) for w in iwords], spots) if spots else None
@@ -78,3 +79,19 @@ def test_join_equals_all_pairs(spark):
     kept = decontaminate.clean(df, bench)
     assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(i) for i, t, _ in rows if not want.get(t))
     assert decontaminate.contaminated(df, bench.limit(0)).where("size(leaks) > 0").count() == decontaminate.contaminated(df.limit(0), bench).count() == 0
+
+
+def test_tables_of_numbers_meet_only_where_they_are_equal(spark):
+    rng = random.Random(9)
+    numbers = [str(rng.randrange(10**6)) for _ in range(100_000)]
+    items = [(k, " ".join(str(rng.randrange(10**6)) for _ in range(300))) for k in range(5)] + [(9, " ".join(numbers[5000:5300]))]
+    docs = spark.createDataFrame([(1, " ".join(numbers)), (2, " ".join(numbers[:4000]))], "doc_id long, text string")
+    began = time.perf_counter()
+    got = {r.doc_id: [x.item_id for x in r.leaks] for r in decontaminate.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {1: [9], 2: []} and time.perf_counter() - began < 60
+
+
+def test_weak_windows_are_told_by_their_values():
+    weak = lambda text: decontaminate.template_windows(*decontaminate.template(text)).tolist()
+    assert weak("sum of 1 2 3 4 5 6") != weak("sum of 1 2 3 4 5 7") and weak("sum of 1 2 3 4 5 6") == weak("Sum of 1 2 3 4 5 6")
+    assert weak("we saw 3 apples and then 5 pears") == weak("we saw 4 apples and then 6 pears")
