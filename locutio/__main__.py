@@ -22,6 +22,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--forzar", action="store_true", help="parse and ask again, whatever is stored")
     p.add_argument("--grabado", help="parquet of recorded answers (clave, intento, texto)")
     p.add_argument("--salida", default="salida")
+    p.add_argument("--reporte", action="store_true", help="also write a page and a CSV file for each document")
     return p
 
 
@@ -56,6 +57,8 @@ def main(argv: list[str] | None = None) -> int:
     try:
         done = run(read_files(spark, a.entrada), Replay(spark.read.parquet(a.grabado)), options)
         done.write(a.salida)
+        if a.reporte:
+            done.report(a.salida)
         (done.recall() if a.accion == "medir-prefiltro" else done.summary).show(truncate=False)
     except Exception as e:  # noqa: BLE001  told to the caller by the exit code
         print(e, file=sys.stderr)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..criteria.base import Criterion
 from ..criteria.registry import DEFAULT, criterion
 from ..functions.languages import detected
-from ..operators import evaluate, metrics, segment, store
+from ..operators import evaluate, metrics, report, segment, store
 from ..operators.evaluate import Backend
 from ..operators.stored import stored
 from ..sources.subtitles import PARSER_VERSION, transcripts
@@ -63,6 +63,12 @@ class Run:
         out = metrics.gate_recall(rows, ["doc_id"], self.threshold)
         return out.withColumn("veredicto", metrics.recall_verdict(F.col("recall")))
 
+    def report(self, path: str) -> None:
+        """A page and an export for each document with claims, under path/paginas and path/csv."""
+        rows = stored(report.report_rows(self.results))
+        report.write_pages(report.pages(rows, self.criterion, self.threshold), f"{path}/paginas")
+        report.write_pages(report.csv_pages(report.visible(rows, self.threshold)), f"{path}/csv")
+
     def write(self, path: str) -> None:
         """Tables transcripts, claims, results, summary and cache under path, a store that many runs share.
 
