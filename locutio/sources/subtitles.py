@@ -230,20 +230,24 @@ def asr_windows(duration: Column) -> Column:
 def transcripts(files: DataFrame) -> DataFrame:
     """(doc_id, path, content) -> (doc_id, motor, timestamps_reales, segmentos, problema); problema tells why a file has no cues."""
     ext = extension(F.col("path"))
-    is_sub = ext.isin(SUBTITLES)
-    step = files.select("doc_id", "path", ext.alias("ext"), is_sub.alias("sub"), F.when(is_sub, subtitle_cues(F.col("content"))).alias("subs"), F.when(~is_sub, marked_cues(F.col("content"))).alias("marks"), "content")
-    step = step.select("*", F.when(F.col("sub"), repaired(F.col("subs"))).when(F.size("marks") > 0, F.col("marks")).otherwise(plain_cues(F.col("content"))).alias("segmentos"))
-    empty = F.size("segmentos") == 0
-    problem = F.when(empty & F.col("sub"), "parece un subtitulo pero no encontre ningun bloque con timestamps validos").when(empty, "esta vacio")
-    motor = F.when(F.col("sub"), F.col("ext")).when(F.size("marks") > 0, "texto-con-marcas").otherwise("texto")
-    return step.select("doc_id", "path", motor.alias("motor"), (F.col("sub") | (F.size("marks") > 0)).alias("timestamps_reales"), "segmentos", problem.alias("problema"), F.lit(PARSER_VERSION).alias("version_parseo"))
+    is_sub, is_text = ext.isin(SUBTITLES), ext.isin(TEXTS)
+    none = F.array().cast(CUES)
+    step = files.select("doc_id", "path", ext.alias("ext"), is_sub.alias("sub"), is_text.alias("txt"), F.when(is_sub, subtitle_cues(F.col("content"))).alias("subs"), F.when(is_text, marked_cues(F.col("content"))).alias("marks"), "content")
+    by_mark = F.coalesce(F.size("marks") > 0, F.lit(False))
+    step = step.select("*", by_mark.alias("marked"), F.when(F.col("sub"), repaired(F.col("subs"))).when(by_mark, F.col("marks")).when(F.col("txt"), plain_cues(F.col("content"))).otherwise(none).alias("segmentos"))
+    empty, known = F.size("segmentos") == 0, F.col("sub") | F.col("txt")
+    said = f"formato sin lector; se leen {', '.join(SUBTITLES + TEXTS)}"
+    media = f"audio o video: primero hay que transcribirlo; se leen {', '.join(SUBTITLES + TEXTS)}"
+    problem = F.when(F.col("ext").isin(MEDIA), media).when(~known, said).when(empty & F.col("sub"), "subtitulo sin un solo bloque con tiempos").when(empty, "esta vacio")
+    motor = F.when(F.col("sub"), F.col("ext")).when(F.col("marked"), "texto-con-marcas").when(F.col("txt"), "texto").when(F.col("ext").isin(MEDIA), "medio")
+    return step.select("doc_id", "path", motor.alias("motor"), (F.col("sub") | F.col("marked")).alias("timestamps_reales"), "segmentos", problem.alias("problema"), F.lit(PARSER_VERSION).alias("version_parseo"))
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """Files under path as (doc_id, path, content); doc_id is the key of name and bytes."""
     from ..functions.text import file_key
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{srt,vtt,txt,md}").option("recursiveFileLookup", "true").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "{*.[sS][rR][tT],*.[vV][tT][tT],*.[tT][xX][tT],*.[mM][dD]}").option("recursiveFileLookup", "true").load(path)
     name = F.element_at(F.split("path", "/"), -1)
     return files.select(file_key(name, F.col("content")).alias("doc_id"), name.alias("path"), F.decode("content", "UTF-8").alias("content"))
 

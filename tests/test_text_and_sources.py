@@ -1,3 +1,4 @@
+import random
 from pathlib import Path
 
 import pytest
@@ -60,7 +61,7 @@ def test_rolling_captions(spark):
 def test_overlap(spark):
     o = lambda a, b: value(spark, subtitles.overlap_length(F.lit(a), F.lit(b)))
     assert o("we closed Joe's old harbour", "joes old harbour and more") == 3
-    assert o("esto pasa todos los dias", "y por eso mismo") == 0 and o("a", "a") == 0 and o("", "") == 0
+    assert o("the ferry left before noon", "two cranes stood idle") == 0 and o("a", "a") == 0 and o("", "") == 0
     assert o("x y x y", "x y x y z") == 4
 
 
@@ -179,3 +180,39 @@ def test_language(spark):
     assert d("El precio de la casa y de los campos no es el que se dijo por la radio") == "es"
     assert d("The price of the house is not what it was on the radio that day") == "en" and d("short") == "und"
     assert value(spark, languages.two_letters(F.lit("spa"))) == "es" and value(spark, languages.language_name(F.lit("xx"))) == "XX"
+
+
+def test_overlap_of_many_words_equals_trying_each(spark):
+    rng = random.Random(8)
+    rows = []
+    for k in range(120):
+        x = [rng.choice("ab" if k % 2 else "abcdefgh") for _ in range(rng.randrange(0, 150))]
+        n = rng.randrange(0, len(x) + 1)
+        rows.append((k, x, x[len(x) - n :] + [rng.choice("abz") for _ in range(rng.randrange(0, 90))]))
+    rows += [(200, ["a"] * 300, ["a"] * 299 + ["b"]), (201, [], ["a"]), (202, ["a", "b"] * 100, ["b", "a"] * 90)]
+    df = spark.createDataFrame(rows, "k int, x array<string>, y array<string>")
+    got = df.select("k", subtitles.overlap_of(F.col("x"), F.col("y")).alias("n"), subtitles._overlap_of_many(F.col("x"), F.col("y")).alias("m")).collect()
+    want = {k: next((n for n in range(min(len(x), len(y)), 1, -1) if x[-n:] == y[:n]), 0) for k, x, y in rows}
+    assert {r.k: r.n for r in got} == {r.k: r.m for r in got} == want
+
+
+def test_unsupported_files_have_a_problem_and_no_cues(spark):
+    files = spark.createDataFrame([("1", "a.mp3", "words here\n\nmore"), ("2", "b.PDF", "words"), ("3", "c.MD", "words"), ("4", "noextension", "words")], "doc_id string, path string, content string")
+    got = {r.doc_id: r for r in subtitles.transcripts(files).collect()}
+    assert [len(got[k].segmentos) for k in "1234"] == [0, 0, 1, 0] and [got[k].motor for k in "1234"] == ["medio", None, "texto", None]
+    assert all("srt" in got[k].problema for k in "124") and got["3"].problema is None
+
+
+def test_files_of_any_case_are_read(spark, tmp_path):
+    for name in ("a.SRT", "b.Txt", "c.md", "d.mp3"):
+        (tmp_path / name).write_text("1\n00:00:01,000 --> 00:00:02,000\nwords\n")
+    assert sorted(r.path for r in subtitles.read_files(spark, str(tmp_path)).collect()) == ["a.SRT", "b.Txt", "c.md"]
+
+
+def test_the_package_can_be_sent(tmp_path):
+    import zipfile
+
+    from locutio import package
+
+    names = zipfile.ZipFile(package.archive(str(tmp_path))).namelist()
+    assert "locutio/__init__.py" in names and "locutio/sources/audio.py" in names and all(n.endswith(".py") for n in names)
