@@ -65,6 +65,17 @@ def recall_verdict(recall: Column) -> Column:
     return F.when(recall.isNull(), "sin_altas").when(recall >= ENOUGH_RECALL, "ok").otherwise("mejorable")
 
 
+def recall_text(recall: Column, high: Column, caught: Column) -> Column:
+    """What a recall says of the gate, in words."""
+    share = F.concat(F.floor(recall * 100 + 0.5).cast("bigint").cast("string"), F.lit(" %"))
+    counts = F.concat(caught.cast("string"), F.lit(" de "), high.cast("string"))
+    return (
+        F.when(recall.isNull(), F.lit("sin puntajes altos: la sensibilidad del prefiltro no se puede medir aqui"))
+        .when(recall >= ENOUGH_RECALL, F.concat(F.lit("el prefiltro retiene "), counts, F.lit(" puntajes altos ("), share, F.lit("): se puede usar")))
+        .otherwise(F.concat(F.lit("el prefiltro solo retiene "), counts, F.lit(" puntajes altos ("), share, F.lit("): faltan marcadores")))
+    )
+
+
 def missed(results: DataFrame, threshold: float = 0.7) -> DataFrame:
     """High scores without a marker, the highest first, ties in document order."""
     lost = results.where(F.col("evaluada") & (F.col("score") >= threshold) & (F.size("marcadores") == 0))
@@ -90,6 +101,13 @@ def confusion(rows: DataFrame, labels: list[str], by: list[str] | None = None) -
     return rows.where(F.col("esperado").isin(labels) & F.col("obtenido").isin(labels)).groupBy(*(by or []), "esperado", "obtenido").agg(F.count("*").alias("n"))
 
 
+def confusion_table(rows: DataFrame, labels: list[str]) -> DataFrame:
+    """(esperado, a column for each label): the confusion matrix as a table with a row for each label, pairs that don't occur as 0."""
+    frame = rows.sparkSession.createDataFrame([(k, x) for k, x in enumerate(labels)], "orden int, esperado string")
+    cells = confusion(rows, labels).groupBy("esperado").pivot("obtenido", labels).agg(F.sum("n"))
+    return frame.join(cells, "esperado", "left").select("orden", "esperado", *(F.coalesce(F.col(f"`{x}`"), F.lit(0)).alias(x) for x in labels))
+
+
 def confusion_accuracy(matrix: DataFrame, by: list[str] | None = None) -> DataFrame:
     return matrix.groupBy(*(by or [])).agg(F.sum("n").alias("total"), F.try_divide(F.sum(F.when(F.col("esperado") == F.col("obtenido"), F.col("n")).otherwise(0)), F.sum("n")).alias("exactitud"))
 
