@@ -42,6 +42,19 @@ def values(rows: list[tuple], names: str) -> str:
     return "(values " + ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows) + f") t({names})"
 
 
+def spread(spark: SparkSession, sf: str, rows: list[tuple], names: str) -> DataFrame:
+    """(event_id, names): each event has one of rows, in turn, so that what is done with them grows with the table."""
+    listed = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], f"_k long, {names}")
+    return table(spark, sf, "events").select("event_id", (F.col("event_id") % len(rows)).alias("_k")).join(F.broadcast(listed), "_k").drop("_k")
+
+
+def spread_sql(sql: str, rows: list[tuple], keys: str) -> str:
+    """The rows of sql, a query over rows as such, for each event that has them; keys are the first columns of rows, by which sql's rows are found."""
+    names = keys.split(", ")
+    found = " and ".join(f"s.{n} = x.{n}" for n in names)
+    return f"select e.event_id, s.* from events e join {values([(k, *r[: len(names)]) for k, r in enumerate(rows)], 'nth, ' + keys).replace(' t(', ' x(')} on x.nth = e.event_id % {len(rows)} join ({sql}) s on {found}"
+
+
 # SQL for the helpers
 LINES = "(select doc_id, lang, source, i - 1 as indice, string_split(text, chr(10))[i] as texto from documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) as u(i) where len(string_split(text, chr(10))[i]) >= 15)"
 FOLD = "strip_accents(lower({0}))"
@@ -98,14 +111,18 @@ _MARKS = ["00:01:02,340", "00:01:02.340", "01:02.340", "3725", "x:10", "99:59:59
 
 
 @query(
-    f"""with m as (select lit, string_split(replace(lit, ',', '.'), ':') as p from {values([(m,) for m in _MARKS], "lit")}),
+    spread_sql(
+        f"""with m as (select lit, string_split(replace(lit, ',', '.'), ':') as p from {values([(m,) for m in _MARKS], "lit")}),
 s as (select lit, coalesce(list_reduce(list_transform(p, lambda x: try_cast(x as double)), lambda a, b: a * 60 + b), 0) as seconds, len(list_filter(p, lambda x: try_cast(x as double) is null)) as bad from m),
 z as (select lit, case when bad > 0 then 0.0 else seconds end as seconds from s)
-select lit, round(seconds, 6) as seconds, lpad((floor(seconds)::bigint // 3600)::varchar, 2, '0') || ':' || lpad((floor(seconds)::bigint % 3600 // 60)::varchar, 2, '0') || ':' || lpad((floor(seconds)::bigint % 60)::varchar, 2, '0') as clock from z"""
+select lit, round(seconds, 6) as seconds, lpad((floor(seconds)::bigint // 3600)::varchar, 2, '0') || ':' || lpad((floor(seconds)::bigint % 3600 // 60)::varchar, 2, '0') || ':' || lpad((floor(seconds)::bigint % 60)::varchar, 2, '0') as clock from z""",
+        [(x,) for x in _MARKS],
+        "lit",
+    )
 )
 def time_literals(spark, sf):
-    rows = spark.createDataFrame([(m,) for m in _MARKS], "lit string")
-    return rows.select("lit", F.round(text.seconds(F.col("lit")), 6).alias("seconds"), text.clock(text.seconds(F.col("lit"))).alias("clock"))
+    rows = spread(spark, sf, [(m,) for m in _MARKS], "lit string")
+    return rows.select("event_id", "lit", F.round(text.seconds(F.col("lit")), 6).alias("seconds"), text.clock(text.seconds(F.col("lit"))).alias("clock"))
 
 
 _SQL_CLEAN = "h"
@@ -193,37 +210,51 @@ _TRACKS = [
 
 
 @query(
-    f"""with t as (select id, lower(string_split(lang, '-')[1]) as own, pub, auto, force from {values(_TRACKS, "id, lang, pub, auto, force")}),
+    spread_sql(
+        f"""with t as (select id, lower(string_split(lang, '-')[1]) as own, pub, auto, force from {values(_TRACKS, "id, lang, pub, auto, force")}),
 p as (select *, case when force then null when own is not null then list_filter(pub, lambda x: lower(string_split(x, '-')[1]) = own)[1] else coalesce(list_filter(pub, lambda x: lower(string_split(x, '-')[1]) <> 'und')[1], pub[1]) end as author,
 coalesce(list_filter(auto, lambda x: lower(x) like '%-orig')[1], case when own is not null then list_filter(auto, lambda x: lower(string_split(x, '-')[1]) = own)[1] end) as machine from t)
-select id, coalesce(author, machine) as track, case when author is not null then false when machine is not null then true end as is_auto from p"""
+select id, coalesce(author, machine) as track, case when author is not null then false when machine is not null then true end as is_auto from p""",
+        _TRACKS,
+        "id",
+    )
 )
 def track_choice(spark, sf):
-    rows = spark.createDataFrame(_TRACKS, "id int, lang string, pub array<string>, auto array<string>, force boolean")
+    rows = spread(spark, sf, _TRACKS, "id int, lang string, pub array<string>, auto array<string>, force boolean")
     chosen = subtitles.original_track(F.col("lang"), F.col("pub"), F.col("auto"), F.col("force"))
-    return rows.select("id", chosen.alias("t")).select("id", F.col("t.lang").alias("track"), F.col("t.auto").alias("is_auto"))
+    return rows.select("event_id", "id", chosen.alias("t")).select("event_id", "id", F.col("t.lang").alias("track"), F.col("t.auto").alias("is_auto"))
 
 
 _OUTPUTS = [(1, "HTTP Error 403: Forbidden", 1), (2, "Sign in to confirm you're not a bot", 1), (3, "HTTP Error 429", 1), (4, "Video unavailable", 1), (5, "Unsupported URL: x", 1), (6, "There are no subtitles", 1), (7, "warn\nERROR: odd thing", 2), (8, "", 3)]
 
 
 @query(
-    f"""select id, case when lower(o) like '%403%' or lower(o) like '%forbidden%' then 'tool out of date (HTTP 403)' when lower(o) like '%sign in to confirm%' or lower(o) like '%not a bot%' then 'sign-in required'
+    spread_sql(
+        f"""select id, case when lower(o) like '%403%' or lower(o) like '%forbidden%' then 'tool out of date (HTTP 403)' when lower(o) like '%sign in to confirm%' or lower(o) like '%not a bot%' then 'sign-in required'
 when lower(o) like '%429%' or lower(o) like '%too many requests%' then 'rate limited (HTTP 429)' when lower(o) like '%video unavailable%' or lower(o) like '%private video%' then 'not publicly available'
 when lower(o) like '%unsupported url%' then 'unsupported URL' when lower(o) like '%no subtitles%' then 'no subtitles in the original language'
-else coalesce(substr(list_filter(list_transform(string_split(o, chr(10)), lambda x: trim(x)), lambda x: upper(x) like 'ERROR%')[1], 1, 200), 'exit code ' || code) end as problem from {values(_OUTPUTS, "id, o, code")}"""
+else coalesce(substr(list_filter(list_transform(string_split(o, chr(10)), lambda x: trim(x)), lambda x: upper(x) like 'ERROR%')[1], 1, 200), 'exit code ' || code) end as problem from {values(_OUTPUTS, "id, o, code")}""",
+        _OUTPUTS,
+        "id",
+    )
 )
 def download_problems(spark, sf):
-    rows = spark.createDataFrame(_OUTPUTS, "id int, o string, code int")
-    return rows.select("id", subtitles.download_problem(F.col("o"), F.col("code")).alias("problem"))
+    rows = spread(spark, sf, _OUTPUTS, "id int, o string, code int")
+    return rows.select("event_id", "id", subtitles.download_problem(F.col("o"), F.col("code")).alias("problem"))
 
 
 _FILES = [("a/fuente.webm", 4096), ("a/fuente.webm.part", 4096), ("a/fuente.m4a.ytdl", 9999), ("a/fuente.m4a", 1024), ("a/otra.mp4", 5000), ("a/fuente.es.vtt", 2000), ("a/fuente.es.vtt.temp", 2000)]
 
 
-@query(f"select path, length from {values(_FILES, 'path, length')} where regexp_extract(path, '[^/]*$') like 'fuente%' and length > 1024 and not regexp_matches(path, '(?i)\\.(part|ytdl|temp|tmp|download)$')")
+@query(
+    spread_sql(
+        f"select path, length from {values(_FILES, 'path, length')} where regexp_extract(path, '[^/]*$') like 'fuente%' and length > 1024 and not regexp_matches(path, '(?i)\\.(part|ytdl|temp|tmp|download)$')",
+        _FILES,
+        "path",
+    )
+)
 def finished_downloads(spark, sf):
-    return subtitles.finished_files(spark.createDataFrame(_FILES, "path string, length int"), "fuente")
+    return subtitles.finished_files(spread(spark, sf, _FILES, "path string, length int"), "fuente")
 
 
 @query(
@@ -351,22 +382,32 @@ def document_language(spark, sf):
 _SEGMENTS = [(1, "x" * 139, "es", ["es", "en"], "en"), (2, "x" * 140, "es", ["es", "en"], "en"), (3, "x" * 200, "es", ["es"], "en"), (4, "x" * 200, "es", ["es", "en"], "und"), (5, "x" * 200, "es", ["es"], "es")]
 
 
-@query(f"select id, case when length(t) >= 140 and own <> 'und' and list_contains(cand, own) then own else doc end as lang from {values(_SEGMENTS, 'id, t, doc, cand, own')}")
+@query(
+    spread_sql(
+        f"select id, case when length(t) >= 140 and own <> 'und' and list_contains(cand, own) then own else doc end as lang from {values(_SEGMENTS, 'id, t, doc, cand, own')}",
+        _SEGMENTS,
+        "id",
+    )
+)
 def two_level_language(spark, sf):
-    rows = spark.createDataFrame(_SEGMENTS, "id int, t string, doc string, cand array<string>, own string")
-    return rows.select("id", languages.segment_language(F.col("t"), F.col("doc"), F.col("cand"), F.col("own")).alias("lang"))
+    rows = spread(spark, sf, _SEGMENTS, "id int, t string, doc string, cand array<string>, own string")
+    return rows.select("event_id", "id", languages.segment_language(F.col("t"), F.col("doc"), F.col("cand"), F.col("own")).alias("lang"))
 
 
 _ISO = [*languages.CODES, "und", "xyz"]
 
 
 @query(
-    f"select c.code, coalesce(a.two, c.code) as two, coalesce(n.name, upper(coalesce(a.two, c.code))) as name from (select code from {values([(c,) for c in _ISO], 'code')}) c left join (select * from {values(list(languages.CODES.items()), 'code, two')}) a on c.code = a.code left join (select * from {values(list(languages.NAMES.items()), 'two, name')}) n on coalesce(a.two, c.code) = n.two"
+    spread_sql(
+        f"select c.code, coalesce(a.two, c.code) as two, coalesce(n.name, upper(coalesce(a.two, c.code))) as name from (select code from {values([(c,) for c in _ISO], 'code')}) c left join (select * from {values(list(languages.CODES.items()), 'code, two')}) a on c.code = a.code left join (select * from {values(list(languages.NAMES.items()), 'two, name')}) n on coalesce(a.two, c.code) = n.two",
+        [(x,) for x in _ISO],
+        "code",
+    )
 )
 def language_names(spark, sf):
-    rows = spark.createDataFrame([(c,) for c in _ISO], "code string")
+    rows = spread(spark, sf, [(c,) for c in _ISO], "code string")
     two = languages.two_letters(F.col("code"))
-    return rows.select("code", two.alias("two"), languages.language_name(two).alias("name"))
+    return rows.select("event_id", "code", two.alias("two"), languages.language_name(two).alias("name"))
 
 
 # ---------------------------------------------------------------- gate
@@ -380,14 +421,18 @@ _SENTENCES = [
 
 
 @query(
-    f"""with s as (select * from {values(_SENTENCES, "id, t")}), c as (select id, ord, etiqueta from s, (select * from {sql_gate(causal.ENTRIES)}) where {sql_hit("t")}), a as (select id, ord, etiqueta from s, (select * from {sql_gate(authority.ENTRIES)}) where {sql_hit("t")}),
+    spread_sql(
+        f"""with s as (select * from {values(_SENTENCES, "id, t")}), c as (select id, ord, etiqueta from s, (select * from {sql_gate(causal.ENTRIES)}) where {sql_hit("t")}), a as (select id, ord, etiqueta from s, (select * from {sql_gate(authority.ENTRIES)}) where {sql_hit("t")}),
 cl as (select id, string_agg(etiqueta, '|' order by o) as l from (select id, etiqueta, min(ord) as o from c group by all) group by id), al as (select id, string_agg(etiqueta, '|' order by o) as l from (select id, etiqueta, min(ord) as o from a group by all) group by id)
-select s.id, coalesce(cl.l, '') as causal, coalesce(al.l, '') as authority from s left join cl using (id) left join al using (id)"""
+select s.id, coalesce(cl.l, '') as causal, coalesce(al.l, '') as authority from s left join cl using (id) left join al using (id)""",
+        _SENTENCES,
+        "id",
+    )
 )
 def gate_labels(spark, sf):
-    rows = spark.createDataFrame(_SENTENCES, "id int, t string")
+    rows = spread(spark, sf, _SENTENCES, "id int, t string")
     c, a = (x.gate.markers(F.col("t")) for x in all_criteria())
-    return rows.select("id", F.array_join(c, "|").alias("causal"), F.array_join(a, "|").alias("authority"))
+    return rows.select("event_id", "id", F.array_join(c, "|").alias("causal"), F.array_join(a, "|").alias("authority"))
 
 
 @query(
@@ -410,11 +455,15 @@ def gate_selectivity(spark, sf):
 
 
 @query(
-    f"""with f as (select s || e as patron, s || 'ar' as etiqueta from (select unnest({[*causal.STEMS]}) as s), (select unnest({[*lexicon.AR_ENDINGS]}) as e)) select patron, etiqueta from f"""
+    spread_sql(
+        f"""with f as (select s || e as patron, s || 'ar' as etiqueta from (select unnest({[*causal.STEMS]}) as s), (select unnest({[*lexicon.AR_ENDINGS]}) as e)) select patron, etiqueta from f""",
+        [(x + "ar",) for x in causal.STEMS],
+        "etiqueta",
+    )
 )
 def lexicon_expand(spark, sf):
-    stems = spark.createDataFrame([(s,) for s in causal.STEMS], "s string")
-    return stems.select(F.explode(F.array(*map(F.lit, lexicon.AR_ENDINGS))).alias("e"), "s").select(F.concat("s", "e").alias("patron"), F.concat("s", F.lit("ar")).alias("etiqueta"))
+    stems = spread(spark, sf, [(s,) for s in causal.STEMS], "s string")
+    return stems.select("event_id", F.explode(F.array(*map(F.lit, lexicon.AR_ENDINGS))).alias("e"), "s").select("event_id", F.concat("s", "e").alias("patron"), F.concat("s", F.lit("ar")).alias("etiqueta"))
 
 
 @query(
@@ -425,9 +474,16 @@ def limit_preselected(spark, sf):
     return lexicon.gated(lines(spark, sf), TEST_GATE, limit=3).select("doc_id", "indice", "preseleccionada")
 
 
-@query("select 'framing-causal' as id, 275 as patrones, 157 as etiquetas, '4fff1da0' as hash_prompt union all select 'apelacion-autoridad', 78, 78, '9bd6eaac'")
+@query(
+    spread_sql(
+        "select 'framing-causal' as id, 275 as patrones, 157 as etiquetas, '4fff1da0' as hash_prompt union all select 'apelacion-autoridad', 78, 78, '9bd6eaac'",
+        [("framing-causal",), ("apelacion-autoridad",)],
+        "id",
+    )
+)
 def criteria_catalog(spark, sf):
-    return catalog(spark).select("id", "patrones", "etiquetas", "hash_prompt")
+    rows = spread(spark, sf, [("framing-causal",), ("apelacion-autoridad",)], "id string")
+    return rows.join(F.broadcast(catalog(spark)), "id").select("event_id", "id", "patrones", "etiquetas", "hash_prompt")
 
 
 # ---------------------------------------------------------------- verdicts
@@ -438,11 +494,17 @@ _SQL_SCORE = "case when not c then 0.15 when k then case w when 'razonable' then
 _SQL_REASON = "(case when c then 'Lenguaje causal fuerte' else 'Sin lenguaje causal fuerte' end) || ', ' || (case when k then 'con comparacion o contrafactual' else 'sin comparacion ni contrafactual' end) || ', ' || (case w when 'ninguna' then 'sin plazo declarado' when 'corta' then 'con un plazo de dias o semanas' else 'con un plazo de meses o anos' end) || '.'"
 
 
-@query(f"select c, k, w, ({_SQL_SCORE})::double as score, {_SQL_REASON} as reason from {values(_COMBOS, 'c, k, w')}")
+@query(
+    spread_sql(
+        f"select c, k, w, ({_SQL_SCORE})::double as score, {_SQL_REASON} as reason from {values(_COMBOS, 'c, k, w')}",
+        _COMBOS,
+        "c, k, w",
+    )
+)
 def score_table(spark, sf):
-    rows = spark.createDataFrame(_COMBOS, "c boolean, k boolean, w string")
+    rows = spread(spark, sf, _COMBOS, "c boolean, k boolean, w string")
     f = (F.col("c"), F.col("k"), F.col("w"))
-    return rows.select("c", "k", "w", causal.score_of(*f).alias("score"), causal.reason_of(*f).alias("reason"))
+    return rows.select("event_id", "c", "k", "w", causal.score_of(*f).alias("score"), causal.reason_of(*f).alias("reason"))
 
 
 _ENUMS = ["ninguna", " Ningún plazo", "none", "N/A", "no menciona nada", "corta (dias/semanas)", "short", "dos semanas", "days", "razonable", "meses", "AÑOS", "year", "intermedia", "quizas", "", "vago", "VAGUE", "genérico", "específico", "inespecifico", "concreto", "detallado"]
@@ -450,29 +512,47 @@ _SQL_WINDOW = "case when s = '' or contains(s, 'ningun') or s in ('none', 'n/a')
 _SQL_EXTENT = "case when s = '' or contains(s, 'ningun') or s in ('none', 'n/a') then 'ninguno' when regexp_matches(s, 'vago|vague|generic|impreci') then 'vago' when regexp_matches(s, 'especif|specific|concret|detall') then 'especifico' end"
 
 
-@query(f"with e as (select raw, strip_accents(lower(trim(raw))) as s from {values([(e,) for e in _ENUMS], 'raw')}) select raw, {_SQL_WINDOW} as win, {_SQL_EXTENT} as extent from e")
+@query(
+    spread_sql(
+        f"with e as (select raw, strip_accents(lower(trim(raw))) as s from {values([(e,) for e in _ENUMS], 'raw')}) select raw, {_SQL_WINDOW} as win, {_SQL_EXTENT} as extent from e",
+        [(x,) for x in _ENUMS],
+        "raw",
+    )
+)
 def enum_repair(spark, sf):
-    rows = spark.createDataFrame([(e,) for e in _ENUMS], "raw string").withColumn("s", repair.to_enum(F.col("raw").cast("variant")))
-    return rows.select("raw", causal.window_of(F.col("s")).alias("win"), authority.extent_of(F.col("s")).alias("extent"))
+    rows = spread(spark, sf, [(e,) for e in _ENUMS], "raw string").withColumn("s", repair.to_enum(F.col("raw").cast("variant")))
+    return rows.select("event_id", "raw", causal.window_of(F.col("s")).alias("win"), authority.extent_of(F.col("s")).alias("extent"))
 
 
 _BOOLS = [(1, '{"v": true}', True), (2, '{"v": false}', False), (3, '{"v": 2}', True), (4, '{"v": 0}', False), (5, '{"v": " Sí "}', True), (6, '{"v": "verdadero"}', True), (7, '{"v": "FALSO"}', False), (8, '{"v": "quizas"}', None), (9, '{"v": null}', None), (10, "{}", None), (11, '{"v": [1]}', None), (12, '{"v": "2"}', None)]
 
 
-@query(f"select id, said from {values([(a, c) for a, _, c in _BOOLS], 'id, said')}")
+@query(
+    spread_sql(
+        f"select id, said from {values([(a, c) for a, _, c in _BOOLS], 'id, said')}",
+        _BOOLS,
+        "id",
+    )
+)
 def bool_repair(spark, sf):
-    rows = spark.createDataFrame([(a, b) for a, b, _ in _BOOLS], "id int, j string")
-    return rows.select("id", repair.to_boolean(F.try_variant_get(F.try_parse_json("j"), "$.v", "variant")).alias("said"))
+    rows = spread(spark, sf, [(a, b) for a, b, _ in _BOOLS], "id int, j string")
+    return rows.select("event_id", "id", repair.to_boolean(F.try_variant_get(F.try_parse_json("j"), "$.v", "variant")).alias("said"))
 
 
 _SCORES = [(1, '{"v": 0.82}', 0.82, 0), (2, '{"v": 82}', 0.82, 1), (3, '{"v": "0,5"}', 0.5, 0), (4, '{"v": "85%"}', 0.85, 1), (5, '{"v": -1}', 0.0, 1), (6, '{"v": 500}', 1.0, 1), (7, '{"v": "alto"}', None, None), (8, '{"v": 1}', 1.0, 0), (9, '{"v": true}', None, None)]
 
 
-@query(f"select id, score::double as score, n_notes from {values([(a, c, d) for a, _, c, d in _SCORES], 'id, score, n_notes')}")
+@query(
+    spread_sql(
+        f"select id, score::double as score, n_notes from {values([(a, c, d) for a, _, c, d in _SCORES], 'id, score, n_notes')}",
+        _SCORES,
+        "id",
+    )
+)
 def score_repair(spark, sf):
-    rows = spark.createDataFrame([(a, b) for a, b, _, _ in _SCORES], "id int, j string").withColumn("n", repair.to_number(F.try_variant_get(F.try_parse_json("j"), "$.v", "variant")))
+    rows = spread(spark, sf, [(a, b) for a, b, _, _ in _SCORES], "id int, j string").withColumn("n", repair.to_number(F.try_variant_get(F.try_parse_json("j"), "$.v", "variant")))
     score, notes = repair.to_score(F.col("n"))
-    return rows.select("id", F.when(F.col("n").isNotNull(), score).alias("score"), F.when(F.col("n").isNotNull(), F.size(notes)).alias("n_notes"))
+    return rows.select("event_id", "id", F.when(F.col("n").isNotNull(), score).alias("score"), F.when(F.col("n").isNotNull(), F.size(notes)).alias("n_notes"))
 
 
 # an answer made of a document's text, as a string of an object, between other words
@@ -735,17 +815,29 @@ def rollup_source_language(spark, sf):
 _PLACES = [(1, 100, 100), (2, 100, 0), (3, 100, 50), (4, 0, 0), (5, None, None), (6, 1000, 949), (7, 1000, 50)]
 
 
-@query(f"with p as (select id, size, floor(coalesce(vram / nullif(size, 0) * 100, 0) + 0.5)::bigint as s from {values(_PLACES, 'id, size, vram')}) select id, case when size is null then 'desconocido' when s >= 95 then 'gpu' when s <= 5 then 'cpu' else 'mixto (' || s || '% GPU)' end as place from p")
+@query(
+    spread_sql(
+        f"with p as (select id, size, floor(coalesce(vram / nullif(size, 0) * 100, 0) + 0.5)::bigint as s from {values(_PLACES, 'id, size, vram')}) select id, case when size is null then 'desconocido' when s >= 95 then 'gpu' when s <= 5 then 'cpu' else 'mixto (' || s || '% GPU)' end as place from p",
+        _PLACES,
+        "id",
+    )
+)
 def where_it_runs(spark, sf):
-    return spark.createDataFrame(_PLACES, "id int, size long, vram long").select("id", metrics.where_it_runs(F.col("size"), F.col("vram")).alias("place"))
+    return spread(spark, sf, _PLACES, "id int, size long, vram long").select("event_id", "id", metrics.where_it_runs(F.col("size"), F.col("vram")).alias("place"))
 
 
 _NAMES = [("qwen2.5:3b", "qwen2.5:3b"), ("llama", "llama:latest"), ("llama:1", "llama"), ("a", "a")]
 
 
-@query(f"select a, b, (case when contains(a, ':') then a else a || ':latest' end) = (case when contains(b, ':') then b else b || ':latest' end) as same from {values(_NAMES, 'a, b')}")
+@query(
+    spread_sql(
+        f"select a, b, (case when contains(a, ':') then a else a || ':latest' end) = (case when contains(b, ':') then b else b || ':latest' end) as same from {values(_NAMES, 'a, b')}",
+        _NAMES,
+        "a, b",
+    )
+)
 def model_names(spark, sf):
-    return spark.createDataFrame(_NAMES, "a string, b string").select("a", "b", metrics.same_model(F.col("a"), F.col("b")).alias("same"))
+    return spread(spark, sf, _NAMES, "a string, b string").select("event_id", "a", "b", metrics.same_model(F.col("a"), F.col("b")).alias("same"))
 
 
 # ---------------------------------------------------------------- report
