@@ -115,6 +115,22 @@ def test_queries_match_their_sql(spark, name):
     assert len(a) == len(b) and all(x == y or pytest.approx(x) == y for x, y in zip(a, b)), shown(a[:2])
 
 
+@pytest.mark.parametrize("name", ["report_rows", "csv_texts"])
+def test_clocks_past_99_hours_match_the_sql(spark, tmp_path, name):
+    duckdb = pytest.importorskip("duckdb")
+    ids = (359_999, 360_000, 3_600_001, 39_999_999)
+    spark.createDataFrame([(k, "all of the talk", "en", "src1", 70) for k in ids], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(k, k % 2, 0) for k in ids], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    got = __spark_entry__.queries()[name](spark, str(tmp_path))
+    names = sorted(got.columns)
+    want = con.sql(__spark_entry__.oracle_sql()[name]).project(", ".join(f'"{c}"' for c in names)).fetchall()
+    key = lambda r: tuple(str(v) for v in r)
+    assert sorted((tuple(r) for r in got.select(*names).collect()), key=key) == sorted(want, key=key)
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
