@@ -39,6 +39,17 @@ FUNCTION_WORDS = {
 }
 
 
+def _any_word() -> str:
+    """A function word of any language, as a whole run of letters; words by their first letter, so that one pass does for all languages."""
+    by_letter: dict[str, list[str]] = {}
+    for w in sorted({w for words in FUNCTION_WORDS.values() for w in words}):
+        by_letter.setdefault(w[0], []).append(w[1:])
+    return rf"(?<!\p{{L}})(?:{'|'.join(c + '(?:' + '|'.join(rest) + ')' for c, rest in by_letter.items())})(?!\p{{L}})"
+
+
+_ANY_WORD = _any_word()
+
+
 def _lookup(table: dict[str, str], key: Column) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), key)
 
@@ -53,12 +64,13 @@ def language_name(code: Column) -> Column:
 
 def candidates(text: Column) -> Column:
     """Up to six languages by the number of their function words in text, most first, ties by code; none for a short text or without a hit."""
-    count = lambda low, words: -F.regexp_count(low, F.lit(rf"(?<!\p{{L}})(?:{'|'.join(words)})(?!\p{{L}})"))
 
     def ranked(low: Column) -> Column:
-        scores = F.array(*(F.struct(count(low, words).alias("n"), F.lit(code).alias("code")) for code, words in FUNCTION_WORDS.items()))
-        found = F.slice(F.transform(F.array_sort(F.filter(scores, lambda s: s.n < 0)), lambda s: s.code), 1, CANDIDATES)
-        return F.when(F.length(low) >= MIN_TEXT, found).otherwise(F.array().cast("array<string>"))
+        def told(found: Column) -> Column:
+            scores = F.array(*(F.struct((-F.size(F.filter(found, lambda w: w.isin(words)))).alias("n"), F.lit(code).alias("code")) for code, words in FUNCTION_WORDS.items()))  # noqa: B023
+            return F.slice(F.transform(F.array_sort(F.filter(scores, lambda s: s.n < 0)), lambda s: s.code), 1, CANDIDATES)
+
+        return F.when(F.length(low) >= MIN_TEXT, let(F.regexp_extract_all(low, F.lit(_ANY_WORD), F.lit(0)), told)).otherwise(F.array().cast("array<string>"))
 
     return let(F.lower(squeeze(text)), ranked)
 

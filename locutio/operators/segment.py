@@ -23,8 +23,8 @@ feb mar apr jun jul aug sep sept oct nov dec ene abr ago dic""".split()
 
 _CUT = "\u0001"
 _ABBR = "|".join(a.replace(".", "\\.") for a in sorted(ABBREVIATIONS, key=lambda a: (-len(a), a)))
-#: A sentence end and the blank after it.
-SENTENCE_END = rf"((?:[!?…]|(?<!(?<![\p{{L}}.])(?iu:{_ABBR})\.?)(?<!(?<![\p{{L}}.])\p{{Lu}})\.)[.!?…\"”»)]*) "
+#: A sentence end and the blank after it. The point is looked for first, or what stands before it would be compared with all abbreviations at each letter.
+SENTENCE_END = rf"((?:[!?…]|(?=\.)(?<!(?<![\p{{L}}.])(?iu:{_ABBR})\.?)(?<!(?<![\p{{L}}.])\p{{Lu}})\.)[.!?…\"”»)]*) "
 
 
 def piece_pattern(longest: int) -> str:
