@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 
 def let(value: Column, body) -> Column:
-    """body(value) with value evaluated once: a lambda that names an outer expression evaluates it again for every element."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    """body(value) with value evaluated once: a lambda that names an outer expression evaluates it again for every element.
+
+    element_at finds the type of what it takes once; get asks the whole body for it at every call, so nested lets would cost their depth each time.
+    """
+    return F.element_at(F.transform(F.array(value), body), F.lit(1))
 
 
 def running(values: Column, zero: Column, kind: str) -> Column:
