@@ -1,6 +1,6 @@
 """Removal of repeated 50-byte strings with suffix arrays built block by block.
 
-Every 50-byte string has an anchor, the 20 bytes in it with the smallest hash, so equal strings have equal anchors. A document is a chain of units, runs
+Every 50-byte string has an anchor, the 20 bytes in it with the smallest hash (its upper 32 bits, the first of equal ones), so equal strings have equal anchors. A document is a chain of units, runs
 of neighbouring strings with one anchor. Units are named by two 64-bit hashes, of the anchor and of the whole unit; units whose anchor lies in one
 document only can't repeat, and units with equal names repeat whole: both are settled by the names alone, which stand for long ties. What is left, units
 that share an anchor and differ, mostly at the ends of a repeated passage, is compared by its text: the suffixes of an anchor's units are sorted one
@@ -58,13 +58,13 @@ def units(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if len(data) < LENGTH:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
     h = _rolling(data, ANCHOR)
-    value, at, have = h, np.arange(len(h), dtype=np.int32), 1
+    # the upper half of a hash and the place in one number: the least is the anchor, the first of equal ones, wherever a string stands
+    value, have = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64), 1
     while have < _SPAN:
         step = min(have, _SPAN - have)
-        right = value[step:] < value[:-step]
-        at = np.where(right, at[step:], at[:-step])
-        value = np.where(right, value[step:], value[:-step])
+        value = np.minimum(value[step:], value[:-step])
         have += step
+    at = (value & np.uint64(0xFFFFFFFF)).astype(np.int64)
     first = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
     return first, np.diff(np.concatenate([first, [len(at)]])), h[at[first]]
 
@@ -322,8 +322,12 @@ def repeats(docs: DataFrame, packed: DataFrame) -> tuple[DataFrame, DataFrame |
                 yield pa.RecordBatch.from_arrays([pa.array(said, pa.binary()), *(part.column(k).take(pa.array(of)) for k in (0, 1)), pa.array(start.astype(np.int32))], names=["string", "doc_id", "row", "start"])
 
     said = checkpointed(texts.where("hot").select("doc_id", "row", "text", "start").mapInArrow(strings, "string binary, doc_id long, row long, start int"))
-    least = checkpointed(said.groupBy("string").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("string", "least"))
-    again = said.join(least, "string").where("doc_id > least").select("doc_id", "row", "start", F.lit(LENGTH).alias("length"))
+    # a string meets its least document once for each of PARTS groups of documents, however many documents have it
+    own = said.groupBy("string", F.pmod(F.xxhash64("doc_id", "row"), F.lit(PARTS)).cast("int").alias("salt"))
+    own = checkpointed(own.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.collect_list(F.struct("doc_id", "row", "start")).alias("at")))
+    least = checkpointed(own.groupBy("string").agg(F.min("lo").alias("least"), F.max("hi").alias("most")).where("least < most").select("string", "least"))
+    met = own.join(least, "string").where("hi > least").select("least", "at")
+    again = met.select("least", F.inline("at")).where("doc_id > least").select("doc_id", "row", "start", F.lit(LENGTH).alias("length"))
     return spans.unionByName(again), hot_spans
 
 
