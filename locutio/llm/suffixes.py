@@ -242,11 +242,11 @@ def hot_anchors(docs: DataFrame) -> list[int]:
 
 def repeats(docs: DataFrame, packed: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """(doc_id, row, start, length) byte ranges, overlapping, of strings that also start in a document with a smaller doc_id. docs: (doc_id, row, text),
-    packed: (doc_id, row, ztext). And (doc_id, row, at) with the units (start, n) of hot anchors that repeat whole, if there are hot anchors.
+    packed: (doc_id, row, ztext). And (doc_id, row, at) with the runs (start, n) of strings of hot anchors that repeat, if there are hot anchors.
 
     Units are dealt by their anchor, those of a hot anchor by one of PARTS groups of documents as well, so no task holds all rows of an anchor. A unit that
     a smaller document of its group has is settled there; only the least document of each group, at most PARTS for a unit, meets the least of all groups in
-    a join. What is left of hot anchors is compared string by string, by an aggregation that combines before the shuffle and a join that AQE can split.
+    a join. What is left of hot anchors is compared string by string in the same way; no step makes a row for each document that a string repeats in.
     """
     hot = hot_anchors(docs)
     is_hot = F.col("h").isin(hot) if hot else F.lit(False)
@@ -264,7 +264,7 @@ def repeats(docs: DataFrame, packed: DataFrame) -> tuple[DataFrame, DataFrame |
         own = checkpointed(shared.where("hot and not whole").groupBy("h", "u", "doc_id", "row").agg(F.collect_list(F.struct("start", "n")).alias("at")))
         least = checkpointed(own.groupBy("h", "u").agg(F.min("doc_id").alias("least")))
         own = checkpointed(own.join(least, ["h", "u"]).select("h", "doc_id", "row", "at", (F.col("doc_id") > F.col("least")).alias("whole")))
-        hot_spans = own.where("whole").groupBy("doc_id", "row").agg(F.flatten(F.collect_list("at")).alias("at"))
+        whole_units = own.where("whole").select("doc_id", "row", "at")
         asked = asked.unionByName(own.where("not whole").select("h", "doc_id", "row", F.inline("at")).select(*place, F.lit(True).alias("hot")))
     asked = asked.groupBy("doc_id", "row").agg(*(F.collect_list(c).alias(c) for c in ("h", "start", "n", "hot")))
 
@@ -321,13 +321,15 @@ def repeats(docs: DataFrame, packed: DataFrame) -> tuple[DataFrame, DataFrame |
                 start = np.asarray(part.column(3))[of] + place
                 yield pa.RecordBatch.from_arrays([pa.array(said, pa.binary()), *(part.column(k).take(pa.array(of)) for k in (0, 1)), pa.array(start.astype(np.int32))], names=["string", "doc_id", "row", "start"])
 
-    said = checkpointed(texts.where("hot").select("doc_id", "row", "text", "start").mapInArrow(strings, "string binary, doc_id long, row long, start int"))
-    # a string meets its least document once for each of PARTS groups of documents, however many documents have it
-    own = said.groupBy("string", F.pmod(F.xxhash64("doc_id", "row"), F.lit(PARTS)).cast("int").alias("salt"))
-    own = checkpointed(own.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.collect_list(F.struct("doc_id", "row", "start")).alias("at")))
-    least = checkpointed(own.groupBy("string").agg(F.min("lo").alias("least"), F.max("hi").alias("most")).where("least < most").select("string", "least"))
-    met = own.join(least, "string").where("hi > least").select("least", "at")
-    again = met.select("least", F.inline("at")).where("doc_id > least").select("doc_id", "row", "start", F.lit(LENGTH).alias("length"))
+    # as with units: a string that a smaller document of its group has is settled there, and the least document of each group meets the least of all groups
+    said = texts.where("hot").select("doc_id", "row", "text", "start").mapInArrow(strings, "string binary, doc_id long, row long, start int")
+    said = said.withColumn("salt", F.pmod(F.xxhash64("doc_id", "row"), F.lit(PARTS)).cast("int"))
+    said = checkpointed(said.withColumn("lo", F.min("doc_id").over(Window.partitionBy("string", "salt"))))
+    again = said.where("doc_id > lo").select("doc_id", "row", "start", F.lit(LENGTH).alias("length"))
+    own = checkpointed(said.where("doc_id = lo").groupBy("string", "doc_id", "row").agg(F.collect_list(F.struct("start", F.lit(1).alias("n"))).alias("at")))
+    least = checkpointed(own.groupBy("string").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("string", "least"))
+    met = own.join(least, "string").where("doc_id > least").select("doc_id", "row", "at")
+    hot_spans = whole_units.unionByName(met).groupBy("doc_id", "row").agg(F.flatten(F.collect_list("at")).alias("at"))
     return spans.unionByName(again), hot_spans
 
 
